@@ -6,6 +6,9 @@ import importlib
 import importlib.util
 
 MODULES = (
+    "warc",
+    "language_id",
+    "quality",
     "sharding",
     "decontamination",
 )
