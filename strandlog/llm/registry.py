@@ -6,6 +6,7 @@ import importlib
 import importlib.util
 
 MODULES = (
+    "language_model",
     "warc",
     "language_id",
     "quality",

@@ -110,7 +110,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         joined = rows.join(F.broadcast(repeated), (rows["digest"] == repeated["d2"]) & (rows["n"] == repeated["n2"]), "left")
     else:
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        spread = repeated.withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = repeated.withColumn("s2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = (salted["digest"] == spread["d2"]) & (salted["n"] == spread["n2"]) & (salted["salt"] == spread["s2"])
         joined = salted.join(spread, on, "left")
     decided = joined.select(
