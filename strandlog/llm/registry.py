@@ -6,6 +6,8 @@ import importlib
 import importlib.util
 
 MODULES = (
+    "packing",
+    "multi_index",
     "language_model",
     "warc",
     "language_id",
