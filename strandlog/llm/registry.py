@@ -6,6 +6,7 @@ import importlib
 import importlib.util
 
 MODULES = (
+    "secrets",
     "packing",
     "multi_index",
     "language_model",
