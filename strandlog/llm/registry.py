@@ -6,6 +6,7 @@ import importlib
 import importlib.util
 
 MODULES = (
+    "near_duplicates",
     "secrets",
     "packing",
     "multi_index",
