@@ -1 +1 @@
-
+"""Operators over keyed logs; each takes and returns DataFrames."""
