@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # These must be the same on every system that computes the hashes.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -88,7 +89,7 @@ def py_fnv1a(data: bytes, offset: int = FNV_OFFSET) -> int:
     return offset
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 of a text, as a signed number. Bytes depend on each other, so no built-in expresses it."""
     return text.map(lambda t: None if t is None else signed(py_fnv1a(t.encode()))).astype("Int64")
