@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("reference",)
+MODULES: tuple[str, ...] = ("reference", "metrics", "governance", "placement", "messaging")
 
 
 def _collect(what: str) -> dict:
