@@ -232,7 +232,8 @@ def rotating_reserve(bands: int, every: int) -> KeyedFold:
 
 
 def deficit_round_robin(weights: list[int]) -> KeyedFold:
-    """As ``rotating_reserve`` by deficits: a band is served while it has credit, which each visit raises by its weight."""
+    """As ``rotating_reserve`` by deficits: a band is served while it has credit, which each visit raises by its weight.
+    With weights of at least one, a band therefore keeps its turn until it is empty."""
     bands = len(weights)
 
     def step(queues: list[list[int]], row: dict) -> tuple:
