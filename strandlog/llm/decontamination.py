@@ -120,11 +120,11 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema:
     """``finish(batch, word counts, hit words, items)`` makes the result's rows once the last automaton has passed.
     What earlier ones found travels in three columns."""
     sc = docs.sparkSession.sparkContext
-    marks = T.StructType.fromDDL("_n_words long, _inside binary, _found array<string>").fields
-    taken = {m.name for m in marks}
-    own = [f for f in docs.schema.fields if f.name not in taken]
-    if len(own) < len(docs.schema.fields):
-        raise ValueError(f"columns may not be called {sorted(taken)}")
+    names = ["_n_words", "_inside", "_found"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    kinds = (T.LongType(), T.BinaryType(), T.ArrayType(T.StringType()))
+    marks = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
     every, rows = automata(benchmark, window, most), docs
     for k, automaton in enumerate(every):
         sent = sc.broadcast(automaton)
@@ -135,7 +135,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema:
                 raw = texts(t["text"])
                 hashes, at = word_hashes(raw)
                 symbols = one.symbols(hashes)
-                before = None if first else (t["_inside"].to_pylist(), t["_found"].to_pylist())
+                before = None if first else (t[names[1]].to_pylist(), t[names[2]].to_pylist())
                 for i in range(len(raw)):
                     inside, found = one.hits(symbols[at[i] : at[i + 1]])
                     if before and before[0][i] is not None:
@@ -145,7 +145,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema:
                     sizes.append(int(at[i + 1] - at[i]))
                     insides.append(inside)
                     items.append(found)
-                plain = t if first else t.drop_columns(sorted(taken))
+                plain = t if first else t.drop_columns(names)
                 if last:
                     return finish(plain, sizes, insides, items)
                 bits = [np.packbits(x).tobytes() if x.any() else None for x in insides]
@@ -159,7 +159,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema:
 
         if k + 1 == len(every):
             return arrow_map(rows, make, schema)
-        rows = cut(arrow_map(rows, make, T.StructType([*own, *marks])), "decontamination")
+        rows = cut(arrow_map(rows, make, T.StructType([*docs.schema.fields, *marks])), "decontamination")
     raise AssertionError
 
 
