@@ -31,6 +31,8 @@ BUCKETS, DIM = 1 << 15, 16
 ORDERS = (3, 4, 5)
 MAX_PER_LANG, TRAIN_CHARS = 500, 400
 EPOCHS, RATE, BATCH = 5, 2.0, 32
+#: Few rows are gone through more often.
+LEAST_STEPS = 300
 TARGET = 0.99
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -93,8 +95,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model | None:
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     w, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     w += (rng.standard_normal(w.shape) * 0.1).astype(np.float32)
-    steps, done = EPOCHS * -(-len(seen) // BATCH), 0
-    for _ in range(EPOCHS):
+    each = -(-len(seen) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each))
+    steps, done = epochs * each, 0
+    for _ in range(epochs):
         order = rng.permutation(len(seen))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
