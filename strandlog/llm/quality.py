@@ -141,8 +141,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Discriminant | Constant:
     for k in (0, 1):  # each class is dealt to all folds
         fold[y == k] = np.arange((y == k).sum()) % 2
     best = None
-    for to_pooled in (0.02, 0.1, 0.4):
-        for to_round in (0.02, 0.1):
+    for to_pooled in (0.02, 0.1, 0.4, 0.9):
+        for to_round in (0.02, 0.1, 0.4):
             diff = np.zeros(len(y))
             for f in (0, 1):
                 diff[fold == f] = _fit(x[fold != f], y[fold != f], to_pooled, to_round).difference(x[fold == f])
