@@ -48,7 +48,7 @@ def canonical(frame) -> list[str]:
     """Rows as sorted texts; whole floats count as integers and all missing values as one."""
 
     def plain(v):
-        if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+        if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
             return None
         if isinstance(v, float) and v == int(v) and abs(v) < 1 << 53:
             return int(v)
