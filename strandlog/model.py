@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,10 @@ DELIVERED_SQL = (
     f"{LOG_SQL}, delivered AS (SELECT *, us + CASE WHEN seq % 11 = 0 THEN {DAY} ELSE 0 END AS arrived, 0::BIGINT AS copy "
     f"FROM log UNION ALL SELECT *, us + {DAY} AS arrived, 1::BIGINT AS copy FROM log WHERE seq % 7 = 0)"
 )
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below the one that driver and executors share: the session's spark.checkpoint.dir, or a temporary one
+    where that is unset, as in tests on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="strandlog-")).as_uri()
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -4,6 +4,9 @@ Time is a column, never the clock, so the same log always gives the same decisio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
 from strandlog.operators.fold import KeyedFold
 
 EPSILON = 1e-9
@@ -29,6 +32,31 @@ class Bucket:
         return False
 
 
+class Limiter(Protocol):
+    """Any admission rule; ``take`` sees the rows of a key in order."""
+
+    def take(self, us: int, cost: float = 1.0) -> bool: ...
+
+
+def limited(make: Callable[[], Limiter] | None) -> KeyedFold:
+    """Admission by a limiter of one's own, made anew for each key; without one everything is accepted."""
+
+    def step(limiter: Limiter | None, row: dict) -> tuple:
+        return limiter, {"seq": row["seq"], "admitted": limiter is None or limiter.take(row["us"])}
+
+    return KeyedFold(make or (lambda: None), step, "seq long, admitted boolean")
+
+
+def single_producer() -> KeyedFold:
+    """Binding a stream's producer: the first of a key is bound, any other is refused as unavailable."""
+
+    def step(bound: str | None, row: dict) -> tuple:
+        bound = row["producer"] if bound is None else bound
+        return bound, {"seq": row["seq"], "outcome": "bound" if row["producer"] == bound else "unavailable"}
+
+    return KeyedFold(lambda: None, step, "seq long, outcome string")
+
+
 def token_bucket(cap: float, per_second: float, cost: str | None = None) -> KeyedFold:
     def step(bucket: Bucket, row: dict) -> tuple:
         return bucket, {"seq": row["seq"], "admitted": bucket.take(row["us"], float(row[cost]) if cost else 1.0)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("reference", "metrics", "governance", "placement", "messaging", "sources", "platform")
+MODULES: tuple[str, ...] = ("reference", "metrics", "governance", "placement", "messaging", "sources", "streams", "platform")
 
 
 def _collect(what: str) -> dict:

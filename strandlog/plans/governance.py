@@ -211,6 +211,29 @@ def ref_membership_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(rows, KEY, ORDER, g.membership())
 
 
+@query(f"""WITH {LOG_SQL}, f AS (SELECT *, first_value(kind) OVER (PARTITION BY actor ORDER BY us, seq) AS first FROM log)
+SELECT actor, seq, CASE WHEN kind = first THEN 'bound' ELSE 'unavailable' END AS outcome FROM f""")
+def ref_single_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_log(spark, sf_dir).withColumnRenamed("kind", "producer")
+    return ordered_fold(rows, KEY, ORDER, g.single_producer())
+
+
+class EveryOther:
+    """A limiter of one's own: accepts every second call."""
+
+    def __init__(self) -> None:
+        self.calls = 0
+
+    def take(self, us: int, cost: float = 1.0) -> bool:
+        self.calls += 1
+        return self.calls % 2 == 1
+
+
+@query(f"WITH {LOG_SQL} SELECT actor, seq, row_number() OVER (PARTITION BY actor ORDER BY us, seq) % 2 = 1 AS admitted FROM log")
+def ref_custom_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_fold(event_log(spark, sf_dir), KEY, ORDER, g.limited(EveryOther))
+
+
 @query()
 def ref_rotating_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_log(spark, sf_dir).withColumn("band", (F.col("seq") % 3).cast("int"))
