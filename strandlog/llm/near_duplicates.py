@@ -37,6 +37,8 @@ TREES, LONGEST, TARGET = 32, 8, 0.9999
 #: Nodes up to this size give all their pairs.
 SMALL_NODE = 32
 BLOCK = 2048
+#: Bytes of text whose shingles are held at once.
+PIECE = 2 << 20
 _BYTES = 2
 
 
@@ -113,7 +115,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = signatures(*shingle_sets(texts(pa.chunked_array([batch.column("text")]))))
+            raw, labels, lo = texts(pa.chunked_array([batch.column("text")])), [], 0
+            while lo < len(raw):  # some megabytes of text at once, whatever the batch holds
+                size, hi = 0, lo
+                while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= PIECE):
+                    size, hi = size + len(raw[hi]), hi + 1
+                labels += signatures(*shingle_sets(raw[lo:hi]))
+                lo = hi
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(labels, pa.binary())],
                 names=["doc_id", "key", "labels"],
