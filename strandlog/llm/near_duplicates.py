@@ -388,9 +388,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class, that with the smallest doc_id; null and empty texts all stay. Columns stay as they are."""
     found = classes(docs)
     surplus = found.filter("not stays").select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_own")).distinct()
-    text = F.col("text").cast("string")
+    text = docs["text"].cast("string")
     digest = F.when(F.length(text) > 0, F.unhex(F.md5(text.cast("binary"))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dropped")) & (digest == F.col("_own"))
+    same = docs["doc_id"].cast("long").eqNullSafe(surplus["_dropped"]) & (digest == surplus["_own"])
     rows = docs.join(surplus, same, "left_anti")
     again = found.filter("stays and key is not null").groupBy("doc_id", "key").count().filter("count > 1")
     if again.isEmpty():
