@@ -15,6 +15,7 @@ repeated rows are interchangeable; an empty table has no piece; other columns ar
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,55 +34,67 @@ DIMS, BITS = 3, 13
 FEATURES = 512
 #: Tokens in one range of the curve, at most about so many.
 RANGE_TOKENS = 4_000_000
-MAX_CACHED = 300_000
+MAX_CACHED = 150_000
 _PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
 
+#: Chunks of Latin letters and closing punctuation: these are two words to the tokenizer. Such letters are whole
+#: characters, so that composing them changes nothing, and lose their case one by one (but for the dotted capital I).
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]*)([.,;:!?%*$&#]*)")
+#: The tokenizer's letters for bytes: printable ones stand for themselves, the others for what follows 255 in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
+
+class _Kept(dict):
+    """A cache of two generations: when the young one is full it becomes the old one, so what is in use stays."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= MAX_CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of whole texts as little-endian 16-bit numbers.
 
     The tokenizer never joins what white space parts, so each chunk between spaces and line feeds is encoded once and
-    its ids are kept; a chunk of small letters with punctuation at its end is looked up in its two halves, which the
-    tokenizer parts, too."""
+    its ids are kept. A chunk of plain letters with punctuation after them goes to the tokenizer's model as the two
+    words that it is; any other chunk goes through all of the tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words = _Kept(self._word)
+        self.chunks = _Kept(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
 
-    def _encode(self, parts: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        self.words.update(zip(parts, (np.array(e.ids, "<u2").tobytes() for e in found), strict=True))
+    def _chunk(self, chunk: str) -> bytes:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain is None:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        letters, marks = plain.groups()
+        return (self.words[letters.lower()] if letters else b"") + (self.words[marks] if marks else b"")
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        chunks = self.chunks
-        missing = [w for w in set(parts) if w not in chunks]
-        if missing:
-            if len(chunks) > MAX_CACHED:
-                chunks.clear()
-                missing = list(set(parts))
-            if len(self.words) > MAX_CACHED:
-                self.words.clear()
-            halves = {}
-            for w in missing:
-                halves[w] = (w, "")
-                if w.isascii():
-                    word = w.rstrip(".,;:!?%*$&#").lower()
-                    if word.isalpha():
-                        halves[w] = (word, w[len(word) :])
-            unknown = {h for both in halves.values() for h in both if h and h not in self.words}
-            if unknown:
-                self._encode(list(unknown))
-            get = self.words.get
-            for w, (a, b) in halves.items():
-                chunks[w] = get(a, b"") + get(b, b"")
-        return b"".join([chunks[w] for w in parts])
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,7 +182,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     tokens = rows.agg(F.sum("n")).head()[0] or 0
     ranges = max(1, shuffle_partitions(spark), -(-tokens // RANGE_TOKENS))
     shares = [k / ranges for k in range(1, ranges)]
-    limits = rows.agg(F.percentile_approx("curve", shares, 10 * ranges)).head()[0] if tokens and shares else []
+    # a document counts once for each sequence that it fills, so that ranges hold about equally many tokens
+    weighted = rows.select("curve", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / length))))
+    limits = weighted.agg(F.percentile_approx("curve", shares, 10 * ranges)).head()[0] if tokens and shares else []
     limits = np.array(sorted(set(limits or [])), dtype=np.int64)
 
     @F.pandas_udf("int")
