@@ -9,10 +9,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text that a task works on at once.
+PIECE = 8 << 20
 U64 = np.uint64
 MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
@@ -65,14 +68,29 @@ def local_path(uri: str) -> str:
     return uri.removeprefix("file://") if uri.startswith("file:///") else uri.removeprefix("file:")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most so many bytes in their column ``text``, or one row; other batches whole."""
+    for batch in batches:
+        if "text" not in batch.schema.names:
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def arrow_map(
     df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table | None]], schema: T.StructType | str
 ) -> DataFrame:
-    """Run ``make()`` once in each task and the function it returns on every Arrow batch."""
+    """Run ``make()`` once in each task and the function it returns on every slice of its Arrow batches (``pieces``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows and (out := step(pa.Table.from_batches([batch]))) is not None:
                 yield from out.combine_chunks().to_batches()
 

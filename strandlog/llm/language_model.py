@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import SPACED, arrow_map, cut, held_out, table, texts, word_hashes
+from strandlog.llm.common import SPACED, cut, held_out, pieces, table, texts, word_hashes
 
 HEAD = 1 << 18
 CLASSES, PER_CLASS = 32, 31
@@ -246,20 +246,14 @@ class Network:
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(h, c): how often each token occurs in the training rows, the end excepted; from a table in the shared folder."""
 
-    def make():
-        def step(t: pa.Table) -> pa.Table:
-            hashes, _ = word_hashes(texts(t["text"]), SPACED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            hashes, _ = word_hashes(texts(pa.chunked_array([batch.column("text")])), SPACED)
             kinds, times = np.unique(hashes, return_counts=True)
-            return pa.table({"h": pa.array(kinds.view(np.int64)), "c": pa.array(times.astype(np.int64))})
-
-        return step
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "c"])
 
-    return cut(
-        arrow_map(docs.filter(~held_out("doc_id", 7, 2)).select("text"), make, "h long, c long")
-        .groupBy("h")
-        .agg(F.sum("c").alias("c")),
-        "token-counts",
-    )
+    training = docs.filter(~held_out("doc_id", 7, 2)).select(F.col("text").cast("string").alias("text"))
+    return cut(training.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "token-counts")
 
 
 def vocabulary(counts: DataFrame, ends: int, most: int = HEAD) -> tuple[Vocabulary, int]:
@@ -316,7 +310,7 @@ def parts(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         v, net = sent.value
-        for batch in batches:
+        for batch in pieces(batches):
             hashes, at = word_hashes(texts(pa.chunked_array([batch.column("text")])), SPACED)
             symbols, counts = v.look_up(hashes)
             logs = np.where(counts > 0, np.log10(np.maximum(counts, 0) + 1.0), 0.0)
@@ -352,7 +346,7 @@ def parts(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
             )
             uid += n
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 7, 2).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 7, 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return cut(rows.mapInArrow(run, _PARTS), "lm-parts")
 
 
