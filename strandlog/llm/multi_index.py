@@ -167,7 +167,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, target: float = T
     index.counts = np.zeros(index.cells, dtype=np.int64)
     for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CENTROIDS_MAX squared rows
         index.counts[r["cell"]] = r["n"]
-    need = _calibrate(entries, asked, index, k, target)
+    need = max(k + 1, _calibrate(entries, asked, index, k, target))  # so that k are found wherever there are k
     shelves, parts = _shelves(index.counts)
     sent = sc.broadcast(index)
 

@@ -320,3 +320,12 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.select("doc_id").distinct().count() == kept.count()
     assert decontamination.scan(kept, common.table(spark, sf_dir, "benchmark")).filter("contaminated").count() == 0
+
+
+def test_all_are_returned_where_there_are_few(spark):
+    """However little calibration asks for, a result is full or has every candidate."""
+    rng = np.random.default_rng(8)
+    for n in (2, 12, 21, 60):
+        rows = [(20 * i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(n)]
+        got = nearest(multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), target=0.05))
+        assert set(got) == {20 * i for i in range(n)} and all(len(set(v)) == min(20, n - 1) for v in got.values())
