@@ -9,9 +9,15 @@ class, in which a token has probability (c + 1) / (N_rare + V_rare + 1). So
 
 sums to at most one over all strings, and the rare class makes what the model knows grow with the corpus.
 
-The network (one gated recurrent layer) is trained in numpy by backpropagation truncated to ``STEPS`` tokens, on at
-most ``TRAIN_DOCS`` documents chosen by hash, ``TRAIN_CHARS`` characters of each from a hashed place. Scoring covers
-every token of every document: documents run in lockstep, longest first, in windows whose last state starts the next.
+The words in classes are ``total ** GROWTH`` of ``total`` training tokens (at least ``CLASSES * PER_CLASS``, at most
+``HEAD``), so the network's vocabulary grows with the corpus.
+
+The network (one gated recurrent layer) is trained in numpy by backpropagation truncated to ``STEPS`` tokens, on every
+token of every training row, once: whole texts with their ends, the state carried from window to window. Training goes in
+rounds over disjoint rows, chosen by hash. In a round each task trains a copy of the last round's network on its own
+rows, and the copies' mean, weighted by their tokens, is the round's network. So it depends, a little, on how the rows
+are dealt to tasks. Scoring covers every token of every document: documents run in lockstep, longest first, in windows
+whose last state starts the next.
 
 Counts of the at most ``HEAD`` most frequent tokens are sent to all tasks; the others' are joined by a shuffle, one row
 for each document and token, so nothing that grows with the corpus goes to one machine.
@@ -22,7 +28,9 @@ rows are rows of their own; a null doc_id counts as the text ``null`` for the sp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +44,13 @@ from strandlog.llm.common import SPACED, cut, held_out, pieces, table, texts, wo
 HEAD = 1 << 18
 CLASSES, PER_CLASS = 32, 31
 RARE_INPUTS = 64
-HIDDEN, STEPS, STREAMS = 16, 16, 64
-TRAIN_DOCS, TRAIN_CHARS, EPOCHS, RATE = 500, 2000, 2, 0.01
+GROWTH = 0.45
+HIDDEN, STEPS, STREAMS = 16, 16, 512
+RATE, DECAY = 0.01, 200
+#: Eighths of the training rows in each round.
+ROUNDS = (range(1), range(1, 8))
+#: Tokens that training deals to its streams at once, and numbers of a network that are averaged as one row.
+DEALT, BLOCK = 1 << 20, 4096
 LOCKSTEP, WINDOW = 1024, 32
 _LN10 = np.log(10)
 
@@ -53,16 +66,19 @@ class Vocabulary:
     ends: int
     word: np.ndarray = field(init=False)
     size: int = field(init=False)
+    per_class: int = field(init=False)
     classes: int = field(init=False)
     members: list[int] = field(init=False)
     rare_total: int = field(init=False)
 
     def __post_init__(self) -> None:
-        order = np.lexsort((self.hashes, -self.counts))[: CLASSES * PER_CLASS]
+        most = max(CLASSES * PER_CLASS, int(self.total**GROWTH))
+        order = np.lexsort((self.hashes, -self.counts))[:most]
         self.word = np.full(len(self.hashes), -1, dtype=np.int64)
         self.word[order] = np.arange(len(order))
         self.size = len(order)
-        self.members = [min(PER_CLASS, self.size - lo) for lo in range(0, self.size, PER_CLASS)]
+        self.per_class = max(PER_CLASS, int(self.size**0.5))
+        self.members = [min(self.per_class, self.size - lo) for lo in range(0, self.size, self.per_class)]
         self.classes = len(self.members)
         words = int(self.counts[order].sum())
         rare_tokens, rare_kinds = self.total - self.ends - words, self.distinct - (self.ends > 0) - self.size
@@ -88,9 +104,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _pick(x: np.ndarray, at: np.ndarray, derive: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For scores with a column for each case: the log-probability of each case's row ``at``, and, to ``derive``, the
+    derivatives of minus their sum by the scores. ``x`` is used up."""
+    cases = np.arange(x.shape[1])
+    x -= x.max(axis=0)
+    own = x[at, cases]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    if derive:
+        x /= total
+        x[at, cases] -= 1
+    return own - np.log(total), x
 
 
 class Network:
@@ -98,9 +123,10 @@ class Network:
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 0):
         v, rng = vocabulary, np.random.default_rng(seed)
-        self.size, self.classes, self.members = v.size, v.classes, v.members
+        self.size, self.per_class, self.classes, self.members = v.size, v.per_class, v.classes, v.members
+        self.tokens = 0  # that it was trained on
         f = v.frequencies + 0.5
-        mass = [f[lo : lo + PER_CLASS].sum() for lo in range(0, v.size, PER_CLASS)] + [f[-2], f[-1]]
+        mass = [f[lo : lo + v.per_class].sum() for lo in range(0, v.size, v.per_class)] + [f[-2], f[-1]]
         draw = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)
         self.p = {
             "in": draw(v.size + 1 + RARE_INPUTS, 3 * HIDDEN),
@@ -114,7 +140,7 @@ class Network:
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(
-            symbols < self.size, symbols // PER_CLASS, np.where(symbols == self.size, self.classes, self.classes + 1)
+            symbols < self.size, symbols // self.per_class, np.where(symbols == self.size, self.classes, self.classes + 1)
         )
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -126,80 +152,113 @@ class Network:
 
     def log_outputs(self, hs: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural-log probabilities of the targets' classes and words; with ``grad``, also d(-sum)/d(states)."""
-        p, c = self.p, self.class_of(targets)
-        logs = _log_softmax(hs @ p["class"] + p["class_bias"])
-        out = logs[np.arange(len(c)), c].astype(np.float64)
+        p, c, derive = self.p, self.class_of(targets), grad is not None
+        logs, d = _pick(p["class"].T @ hs.T + p["class_bias"][:, None], c, derive)
+        out = logs.astype(np.float64)
         back = np.zeros_like(hs)
-        if grad is not None:
-            d = np.exp(logs)
-            d[np.arange(len(c)), c] -= 1
-            grad["class"], grad["class_bias"] = hs.T @ d, d.sum(axis=0)
+        if derive:
+            grad["class"], grad["class_bias"] = (d @ hs).T, d.sum(axis=1)
             grad["word"], grad["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-            back += d @ p["class"].T
+            back += d.T @ p["class"].T
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(self.classes + 1))
         for k in range(self.classes):
             rows = order[edges[k] : edges[k + 1]]
             if not len(rows):
                 continue
-            lo, hi = k * PER_CLASS, k * PER_CLASS + self.members[k]
-            own = _log_softmax(hs[rows] @ p["word"][:, lo:hi] + p["word_bias"][lo:hi])
-            at = targets[rows] - lo
-            out[rows] += own[np.arange(len(rows)), at]
-            if grad is not None:
-                d = np.exp(own)
-                d[np.arange(len(rows)), at] -= 1
-                grad["word"][:, lo:hi], grad["word_bias"][lo:hi] = hs[rows].T @ d, d.sum(axis=0)
-                back[rows] += d @ p["word"][:, lo:hi].T
+            lo, hi = k * self.per_class, k * self.per_class + self.members[k]
+            own = hs[rows]
+            logs, d = _pick(p["word"][:, lo:hi].T @ own.T + p["word_bias"][lo:hi, None], targets[rows] - lo, derive)
+            out[rows] += logs
+            if derive:
+                grad["word"][:, lo:hi], grad["word_bias"][lo:hi] = (d @ own).T, d.sum(axis=1)
+                back[rows] += d.T @ p["word"][:, lo:hi].T
         return out, back
 
-    def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, seed: int = 0) -> None:
-        """Streams of documents side by side; the state starts anew after each end."""
-        docs = [d for d in docs if len(d)]
-        if not docs:
-            return
-        rng = np.random.default_rng(seed)
+    def train(self, docs: Iterable[np.ndarray], epochs: int = 1) -> int:
+        """Train on every token of the documents and tell how many there were. Documents run whole, one after another, in
+        streams side by side; the state starts anew after each end."""
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        done = 0
+        done = tokens = 0
         for _ in range(epochs):
-            flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
-            wide = min(STREAMS, max(1, len(flat) // (2 * STEPS)))
-            long = len(flat) // wide
-            streams = flat[: wide * long].reshape(wide, long)
-            before = np.concatenate((np.full((wide, 1), self.size), streams[:, :-1]), axis=1)
-            h = np.zeros((wide, HIDDEN), np.float32)
-            total = max(1, epochs * -(-long // STEPS))
-            for lo in range(0, long, STEPS):
+            for before, targets, h, real in self._windows(docs):
                 done += 1
-                h = self._update(before[:, lo : lo + STEPS], streams[:, lo : lo + STEPS], h, moments, done, total)
-
-    def _update(self, before, targets, h, moments, done, total) -> np.ndarray:
-        p, kept = self.p, []
-        wide, steps = before.shape
+                tokens += int(real.sum())
+                h[:] = self._update(before, targets, h, moments, done, done + DECAY, None if real.all() else real)
+        return tokens
+
+    def _windows(self, docs: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(symbols before, targets, states to be replaced, which targets are real) of each window of the streams. All
+        streams run while each has a window of tokens; what is left at the end runs in longer windows of fewer streams."""
+        queues: list[np.ndarray] = []
+        for dealt in _dealt(docs):
+            if not queues:
+                wide = min(STREAMS, max(1, sum(map(len, dealt)) // (64 * STEPS)))
+                queues = [np.empty(0, np.int64)] * wide
+                states, last = np.zeros((wide, HIDDEN), np.float32), np.full(wide, self.size)
+            heap = [(len(q), i) for i, q in enumerate(queues)]
+            heapq.heapify(heap)
+            parts = [[q] for q in queues]
+            for d in sorted(dealt, key=len, reverse=True):
+                n, i = heap[0]
+                parts[i].append(d)
+                heapq.heapreplace(heap, (n + len(d), i))
+            queues = [np.concatenate(x) for x in parts]
+            long = min(map(len, queues)) // STEPS * STEPS
+            rows = np.stack([q[:long] for q in queues])
+            queues = [q[long:].copy() for q in queues]
+            for lo in range(0, long, STEPS):
+                targets = rows[:, lo : lo + STEPS]
+                yield np.column_stack((last, targets[:, :-1])), targets, states, np.ones(targets.shape, bool)
+                last = targets[:, -1]
+        live = [i for i, q in enumerate(queues) if len(q)]
+        while live:
+            live.sort(key=lambda i: -len(queues[i]))
+            steps = min(STEPS * (len(queues) // len(live)), len(queues[live[0]]))
+            targets, real = np.full((len(live), steps), self.size), np.zeros((len(live), steps), bool)
+            for k, i in enumerate(live):
+                own = queues[i][:steps]
+                targets[k, : len(own)], real[k, : len(own)] = own, True
+                queues[i] = queues[i][steps:]
+            h = states[live]
+            yield np.column_stack((last[live], targets[:, :-1])), targets, h, real
+            states[live], last[live] = h, targets[:, -1]
+            live = [i for i in live if len(queues[i])]
+
+    def _update(self, before, targets, h, moments, done, total, real=None) -> np.ndarray:
+        p, (wide, steps) = self.p, before.shape
+        symbols = before.T
+        keep = (symbols != self.size)[:, :, None].astype(h.dtype)
+        inputs = (p["in"] + p["bias"])[symbols]
+        prev, z, r, n, u, hs = (np.empty((steps, wide, HIDDEN), h.dtype) for _ in range(6))
         for t in range(steps):
-            h = np.where((before[:, t] == self.size)[:, None], np.float32(0), h)
-            new, z, r, n, u = self.step(p["in"][before[:, t]] + p["bias"], h)
-            kept.append((h, z, r, n, u))
-            h = new
-            kept[-1] += (h,)
-        hs = np.stack([k[5] for k in kept], axis=1).reshape(wide * steps, HIDDEN)
+            prev[t] = h * keep[t]
+            h, z[t], r[t], n[t], u[t] = self.step(inputs[t], prev[t])
+            hs[t] = h
         grad: dict[str, np.ndarray] = {}
-        _, back = self.log_outputs(hs, targets.reshape(-1), grad)
-        back = back.reshape(wide, steps, HIDDEN)
-        grad |= {k: np.zeros_like(p[k]) for k in ("in", "bias", "state")}
-        carry = np.zeros((wide, HIDDEN), np.float32)
+        rows = slice(None) if real is None else real.T.reshape(-1)
+        flat = hs.reshape(-1, HIDDEN)
+        back = np.zeros_like(flat)
+        _, back[rows] = self.log_outputs(flat[rows], targets.T.reshape(-1)[rows], grad)
+        back = back.reshape(hs.shape)
+        by_n = (1 - z) * (1 - n * n)  # what a state's derivative is multiplied by for its candidate, gates and inputs
+        by_u = np.stack(((prev - n) * z * (1 - z), by_n * u * r * (1 - r), by_n * r), axis=2)
+        gus, state = np.empty((steps, wide, 3 * HIDDEN), h.dtype), np.ascontiguousarray(p["state"].T)
+        carry = np.zeros((wide, HIDDEN), h.dtype)
         for t in reversed(range(steps)):
-            prev, z, r, n, u, _ = kept[t]
-            d = carry + back[:, t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (prev - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            gx, gu = np.concatenate((dz, dr, dn), axis=1), np.concatenate((dz, dr, dn * r), axis=1)
-            np.add.at(grad["in"], before[:, t], gx)
-            grad["bias"] += gx.sum(axis=0)
-            grad["state"] += prev.T @ gu
-            carry = np.where((before[:, t] == self.size)[:, None], np.float32(0), d * z + gu @ p["state"].T)
-        scale = np.float32(1 / (wide * steps))
+            carry += back[t]
+            np.multiply(carry[:, None], by_u[t], out=gus[t].reshape(wide, 3, HIDDEN))
+            by_n[t] *= carry
+            carry = (carry * z[t] + gus[t] @ state) * keep[t]
+        grad["state"] = prev.reshape(-1, HIDDEN).T @ gus.reshape(-1, 3 * HIDDEN)
+        gus[:, :, 2 * HIDDEN :] = by_n
+        gus, symbols = gus.reshape(-1, 3 * HIDDEN), symbols.reshape(-1)
+        order = np.argsort(symbols, kind="stable")
+        kinds, first = np.unique(symbols[order], return_index=True)
+        grad["in"] = np.zeros_like(p["in"])
+        grad["in"][kinds] = np.add.reduceat(gus[order], first, axis=0)
+        grad["bias"] = gus.sum(axis=0)
+        scale = np.float32(1 / (wide * steps if real is None else real.sum()))
         norm = np.sqrt(sum(float(np.square(g).sum()) for g in grad.values())) * scale
         scale *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         rate = RATE * (1 - 0.9 * done / total)
@@ -243,6 +302,19 @@ class Network:
         return out / _LN10
 
 
+def _dealt(docs: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Lists of documents with ``DEALT`` tokens or a little more; the last may have fewer."""
+    own, n = [], 0
+    for d in docs:
+        own.append(d)
+        n += len(d)
+        if n >= DEALT:
+            yield own
+            own, n = [], 0
+    if n:
+        yield own
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(h, c): how often each token occurs in the training rows, the end excepted; from a table in the shared folder."""
 
@@ -283,20 +355,61 @@ def vocabulary(counts: DataFrame, ends: int, most: int = HEAD) -> tuple[Vocabula
 
 
 def fit(docs: DataFrame, words: Vocabulary) -> Network:
-    """Train a network on a bounded sample of the training rows."""
-    usable = docs.filter(~held_out("doc_id", 7, 2) & (F.length("text") > 0)).select("doc_id", "text")
-    place = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int")
-    rows = usable.select(
-        F.xxhash64("doc_id", F.lit("lm")).alias("h"), F.substring("text", place, F.lit(TRAIN_CHARS)).alias("t")
-    )
-    chosen = [r["t"].encode() for r in rows.orderBy("h", "t").limit(TRAIN_DOCS).collect()]
-    hashes, at = word_hashes(chosen, SPACED)
-    symbols, _ = words.look_up(hashes)
+    """Train a network on all training rows, in ``ROUNDS``."""
     network = Network(words)
-    network.train([np.append(symbols[a:b], words.end) for a, b in zip(at[:-1], at[1:], strict=True)])
+    eighth = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(8))
+    training = docs.filter(~held_out("doc_id", 7, 2)).select(eighth.alias("eighth"), F.col("text").cast("string").alias("text"))
+    for own in ROUNDS:
+        network.tokens += _round(training.filter(F.col("eighth").isin(list(own))).select("text"), words, network)
     return network
 
 
+def _round(rows: DataFrame, words: Vocabulary, network: Network) -> int:
+    """Replace the network by the mean of copies trained by each task on its rows, and tell how many tokens there were.
+    Blocks of the copies are averaged by a shuffle, so that the driver gets one network however many tasks there are."""
+    sent = rows.sparkSession.sparkContext.broadcast((words, network))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, net = sent.value
+        net = copy.deepcopy(net)  # a worker may run several tasks
+
+        def docs() -> Iterator[np.ndarray]:
+            for batch in pieces(batches):
+                hashes, at = word_hashes(texts(pa.chunked_array([batch.column("text")])), SPACED)
+                symbols, _ = v.look_up(hashes)
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    yield np.append(symbols[a:b], v.end)
+
+        if n := net.train(docs()):
+            flat = np.concatenate([x.ravel() for x in net.p.values()])
+            blocks = [flat[lo : lo + BLOCK].tobytes() for lo in range(0, len(flat), BLOCK)]
+            k = len(blocks)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array([n] * k, pa.int64()), pa.array(blocks, pa.binary())],
+                names=["block", "part", "n", "data"],
+            )
+
+    def mean(copies: pa.Table) -> pa.Table:
+        total, sums = 0, 0.0
+        for x in sorted(copies.to_pylist(), key=lambda x: x["part"]):
+            total += x["n"]
+            sums = sums + x["n"] * np.frombuffer(x["data"], np.float32).astype(np.float64)
+        return pa.table({"block": copies["block"][:1], "n": [total], "data": pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())})
+
+    copies = rows.mapInArrow(run, "block int, part int, n long, data binary")
+    found = sorted(copies.groupBy("block").applyInArrow(mean, "block int, n long, data binary").collect())
+    sent.unpersist()
+    if not found:
+        return 0
+    flat = np.frombuffer(b"".join(r["data"] for r in found), np.float32)
+    lo = 0
+    for k, x in network.p.items():
+        network.p[k] = flat[lo : lo + x.size].reshape(x.shape).copy()
+        lo += x.size
+    return found[0]["n"]
+
+
 _PARTS = (
     "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, n_rare long, rare_logs double, "
     "network double, tail array<struct<h: long, n: int>>"

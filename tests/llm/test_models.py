@@ -178,6 +178,31 @@ def test_lockstep_is_step_by_step(monkeypatch):
     assert np.allclose(net.score(docs), got, rtol=1e-4)
 
 
+def test_all_training_rows_train_the_network(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").repartition(3)
+    ends = sum(crc(r["doc_id"], 7) != 2 for r in docs.select("doc_id").collect())
+    words, _ = language_model.vocabulary(language_model.count_tokens(docs), ends)
+    assert language_model.fit(docs, words).tokens == words.total
+
+
+def test_streams_cover_whole_documents(monkeypatch):
+    monkeypatch.setattr(language_model, "DEALT", 5000)
+    _, net = _network()
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(0, net.size, n), net.size) for n in (0, 3000, *rng.integers(0, 90, 300))]
+    want = Counter(x for d in docs for x in zip([net.size, *d[:-1].tolist()], d.tolist(), strict=True))
+    got = Counter()
+    for before, targets, _, real in net._windows(iter(docs)):
+        got.update(zip(before[real].tolist(), targets[real].tolist(), strict=True))
+    assert got == want
+
+
+def test_vocabulary_grows_with_the_corpus():
+    hashes, counts = np.arange(1, 20001, dtype=np.uint64), np.full(20000, 5)
+    few, many = (language_model.Vocabulary(hashes, counts, total, 20001, 10) for total in (100_010, 500_000_010))
+    assert few.size == 992 and many.size > 8000 and sum(many.members) == many.size and max(many.members) == many.per_class
+
+
 def test_gradients(monkeypatch):
     """Backpropagation against differences of the loss."""
     words, net = _network()
