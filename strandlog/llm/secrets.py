@@ -1,6 +1,7 @@
 """Secret scan: patterns find candidates, a random forest removes the false ones.
 
-Candidates are keys of known form, values assigned to telling names, and long runs that mix letters and digits. The
+Candidates are keys of known form, values assigned to telling names (quoted or not), passwords in URLs, and long runs
+that mix letters and digits. The
 forest's features are the candidate's length, its character transitions (changes between kinds of character, and the
 mean log-probability of its letter pairs in ordinary identifiers), its coverage by dictionary words, its path (the
 row's ``source``) and the words beside it. It is trained from labelled findings: rows of (text, start, end, path,
@@ -37,8 +38,10 @@ KNOWN = re.compile(
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "xox", "AIza")
 ASSIGNED = re.compile(
     r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
-    r"[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{6,})"
+    r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{6,})"
 )
+#: scheme://user:password@host
+URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Words that speak for a secret beside a candidate, and against one; words of ordinary identifiers and placeholders.
 TELLING = frozenset("password passwd pwd secret token key api apikey access auth bearer credential private".split())
@@ -70,6 +73,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     digits = re.search(r"\d", text)
     for kind, pattern, group, possible in (
         ("known", KNOWN, 0, any(p in text for p in PREFIXES)),
+        ("assigned", URL, 1, "://" in text and "@" in text),
         ("assigned", ASSIGNED, 1, "=" in text or ":" in text),
         ("run", RUN, 0, digits),
     ):
@@ -230,10 +234,16 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, int,
     filler = lambda: chars(rest, 1) + "".join(pick(vowels) + pick(rest) for _ in range(int(rng.integers(1, 4))))
     some = lambda: " ".join(filler() for _ in range(int(rng.integers(1, 8))))
     named = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth")
+    placeholders = (
+        "changeme123", "example123", "your_password_here", "test1234", "xxxxxxxxxxxx", "placeholder", "password123",
+        "your-api-key-here", "sample_token_1", "dummy_secret",
+    )
+    password = lambda: pick((chars(mixed + "!$%^_-", int(rng.integers(8, 21))), filler() + filler()[:3] + chars("0123456789", int(rng.integers(1, 4))) + filler()[:3]))
+    url = lambda: f"{pick(('https', 'http', 'ftp', 'postgres', 'mysql', 'redis', 'amqp'))}://{pick((filler(), 'admin', 'user', ''))}:"
     plain = ("commit", "sha1", "sha256", "md5", "checksum", "revision", "etag", "digest", "build", "ref")
 
     def secret() -> tuple[str, str, str]:
-        how = int(rng.integers(8))
+        how = int(rng.integers(10))
         if how == 0:
             return pick(("", "key ", "aws_access_key_id=", some() + " ")), pick(("AKIA", "ASIA")) + chars(upper, 16), ""
         if how == 1:
@@ -248,10 +258,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, int,
             return "", pick(("ghp_", "gho_")) + chars(mixed, 36), ""
         if how == 6:
             return pick(("", "key=")), "sk_live_" + chars(mixed, int(rng.integers(24, 33))), ""
-        return f'{pick(named[3:])}{pick(("=", ": "))}"', chars(mixed + "+/", int(rng.integers(20, 65))), '"'
+        if how == 7:
+            return f'{pick(named[3:])}{pick(("=", ": "))}"', chars(mixed + "+/", int(rng.integers(20, 65))), '"'
+        if how == 8:
+            return f'"{pick(named)}"{pick((": ", ":"))}"', password(), '"'
+        return url(), password(), f"@{filler()}.net/{filler()}"
 
     def other() -> tuple[str, str, str]:
-        how = int(rng.integers(9))
+        how = int(rng.integers(11))
         if how == 0:
             return pick(plain) + pick((" ", ": ", "=")), chars(hexa, pick((32, 40, 64))), ""
         if how == 1:
@@ -261,14 +275,17 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, int,
         if how == 3:
             return some() + " ", "_".join(pick(words) for _ in range(int(rng.integers(3, 5)))) + f"_{chars('0123456789', 1)}", ""
         if how == 4:
-            return pick(named) + pick(("=", ": ")), pick(("changeme123", "example123", "your_password_here", "test1234",
-                "xxxxxxxxxxxx", "placeholder", "password123", "your-api-key-here", "sample_token_1", "dummy_secret")), ""
+            return pick(named) + pick(("=", ": ")), pick(placeholders), ""
         if how == 5:
             return pick(("", "key ")), "AKIA" + pick(("IOSFODNN7EXAMPLE", "XXXXXXXXXXXXXXXX", "1234567890EXAMPL")), ""
         if how == 6:
             return pick(named) + ": ", filler() + filler(), ""
         if how == 7:
             return some() + " ", f"2024-0{pick('123456789')}-1{pick('0123456789')}T10-{chars('012345', 2)}Z", ""
+        if how == 8:
+            return f'"{pick(named)}": "', pick((pick(placeholders), filler() + filler())), '"'
+        if how == 9:
+            return url(), pick((pick(placeholders), "password", "pass")), f"@{filler()}.net/{filler()}"
         return some() + " ", "/".join(pick(words) for _ in range(4)) + f"-v{chars('0123456789', 2)}", ""
 
     found = []
