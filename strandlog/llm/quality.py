@@ -6,9 +6,10 @@ chosen on held-out folds. The score is the difference of the classes' Mahalanobi
 computed once, mapped to a probability by a line fitted on out-of-fold differences.
 
 Labels are read from at most ``MAX_LABELS`` rows, those with the smallest hash of their id; everything else covers all
-rows. Edge cases: null and empty texts have the statistics of an empty text; null labels aren't learnt from; with labels
-of one class, or none, the score is that class's share (1 without labels, so nothing is rejected); repeated documents
-score alike; other columns pass through ``keep_good`` untouched.
+rows. Edge cases: null and empty texts have the statistics of an empty text; null labels aren't learnt from; with fewer
+than ``FOLDED`` labels of a class, too few for folds, both have the pooled covariance, strongly rounded, and the score is
+Bayes' rule; with labels of one class, or none, there is no model: the score is the share of good labels (1 without
+labels), and ``keep_good`` keeps all; repeated documents score alike; other columns pass through ``keep_good`` untouched.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from strandlog.llm.common import SPACED, arrow_map, held_out, table, texts, word
 MAX_LABELS = 20_000
 THRESHOLD = 0.3
 N_STATS = 12
+FOLDED = 4
 _GROUPS = np.zeros((256, 6))
 for _b in range(256):
     _c = chr(_b)
@@ -135,8 +137,11 @@ def _line(diff: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Discriminant | Constant:
     """``x``: rows of ``statistics``; ``y``: 0 or 1."""
-    if len(y) == 0 or min((y == 0).sum(), (y == 1).sum()) < 4:
+    fewest = min((y == 0).sum(), (y == 1).sum())
+    if fewest == 0:
         return Constant(float(y.mean()) if len(y) else 1.0)
+    if fewest < FOLDED:
+        return _fit(x, y, 1.0, 0.4)
     fold = np.zeros(len(y), dtype=int)
     for k in (0, 1):  # each class is dealt to all folds
         fold[y == k] = np.arange((y == k).sum()) % 2
@@ -201,7 +206,9 @@ def score(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold; all where there is no model."""
+    if isinstance(model, Constant):
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

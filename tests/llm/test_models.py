@@ -63,6 +63,20 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert {r["score"] for r in quality.score(odd, empty).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("good, bad", [(1, 1), (1, 9), (3, 30), (30, 2)])
+def test_few_labels_still_make_a_discriminant(good, bad):
+    rng = np.random.default_rng(7)
+    draw = lambda n, at: rng.normal(at, 0.3, (n, quality.N_STATS))
+    model = quality.fit(np.concatenate((draw(good, 1), draw(bad, -1))), np.repeat([1, 0], [good, bad]))
+    assert isinstance(model, quality.Discriminant)
+    assert (model.score(draw(50, 1)) >= quality.THRESHOLD).all() and (model.score(draw(50, -1)) < quality.THRESHOLD).all()
+
+
+def test_without_a_model_all_documents_stay(odd):
+    model = quality.fit(np.zeros((9, quality.N_STATS)), np.zeros(9, dtype=int))
+    assert quality.keep_good(odd, model).count() == len(ODD)
+
+
 def test_discriminant_is_bayes_rule_for_normal_classes():
     """With little shrinkage, differences are those of the true log densities."""
     rng = np.random.default_rng(1)
