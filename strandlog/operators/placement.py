@@ -1,11 +1,13 @@
 """Deterministic placement: rendezvous hashing, weights, virtual bins, constraints, neighbour tables and routes.
 
-A membership view is small by its nature; ``view`` reads it with its size checked. Nodes then are one literal array, so
-placing a key is an expression on its row: no row is multiplied and nothing is shuffled. For very many nodes, place the
-bins once and look keys up by bin."""
+A membership view is small by its nature; ``view`` reads it with its size checked. Nodes then are literals, so placing a
+key is an expression on its row: no row is multiplied and nothing is shuffled. For very many nodes, place the bins once
+and look keys up by bin."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,33 +35,40 @@ def _score(mixed: Column, key_hash: Column) -> Column:
     return h.splitmix64(mixed.bitwiseXOR(key_hash))
 
 
-def hrw(key_hash: Column, nodes: list[int]) -> Column:
-    """The node of the greatest rendezvous weight, the higher id on a tie; null without nodes. Use in ``hashing.wrapped``."""
-    if not nodes:
-        return F.lit(None).cast("long")
-    known = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(h.signed(h.py_splitmix64(n))).cast("long").alias("m")) for n in nodes])
-    scored = F.transform(known, lambda x: F.struct(h.unsigned(_score(x["m"], key_hash)).alias("w"), x["n"].alias("n")))
-    return F.array_max(scored)["n"]
+#: Up to so many nodes a row's owner is one compiled expression, beyond that a function over an array of the nodes.
+UNROLLED = 32
 
 
-def weighted_hrw(key_hash: Column, nodes: list[tuple[int, float]]) -> Column:
-    """As ``hrw`` with shares proportional to the nodes' weights."""
+def _winner(key_hash: Column, nodes: list[tuple[int, float]], weighted: bool, but: Column | None = None) -> Column:
+    """The node of the greatest score, the higher id on a tie, without the node ``but``; null if none is left."""
     if not nodes:
         return F.lit(None).cast("long")
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(n).cast("long").alias("n"), F.lit(h.signed(h.py_splitmix64(n))).cast("long").alias("m"), F.lit(float(w)).alias("w")
-            )
-            for n, w in nodes
-        ]
-    )
 
-    def score(x: Column) -> Column:
-        unit = (F.shiftrightunsigned(_score(x["m"], key_hash), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct((x["w"] / -F.log(unit)).alias("s"), x["n"].alias("n"))
+    def score(n: Column, mixed: Column, weight: Column) -> Column:
+        w = _score(mixed, key_hash)
+        if weighted:
+            unit = (F.shiftrightunsigned(w, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+            return F.struct((weight / -F.log(unit)).alias("s"), n.alias("n"))
+        return F.struct(h.unsigned(w).alias("s"), n.alias("n"))
 
-    return F.array_max(F.transform(known, score))["n"]
+    known = [(F.lit(n).cast("long"), F.lit(h.signed(h.py_splitmix64(n))).cast("long"), F.lit(float(w))) for n, w in nodes]
+    if len(nodes) <= UNROLLED:
+        each = [score(*x) if but is None else F.when(x[0] != F.coalesce(but, F.lit(0)), score(*x)) for x in known]
+        return (F.greatest(*each) if len(each) > 1 else each[0])["n"]
+    left = F.array(*[F.struct(n.alias("n"), m.alias("m"), w.alias("w")) for n, m, w in known])
+    if but is not None:
+        left = F.filter(left, lambda x: x["n"] != F.coalesce(but, F.lit(0)))
+    return F.array_max(F.transform(left, lambda x: score(x["n"], x["m"], x["w"])))["n"]
+
+
+def hrw(key_hash: Column, nodes: list[int]) -> Column:
+    """The node of the greatest rendezvous weight, the higher id on a tie; null without nodes. Use in ``hashing.wrapped``."""
+    return _winner(key_hash, [(n, 1.0) for n in nodes], False)
+
+
+def weighted_hrw(key_hash: Column, nodes: list[tuple[int, float]]) -> Column:
+    """As ``hrw`` with shares proportional to the nodes' weights."""
+    return _winner(key_hash, nodes, True)
 
 
 def with_hash(rows: DataFrame, key: str, kind: int = 1, out: str = "key_hash") -> DataFrame:
@@ -108,12 +117,26 @@ def resolve(
     caller: str | None = None,
     weighted: bool = False,
     key_hash: str = "key_hash",
+    explicit: str | None = None,
+    custom: "Callable[[Column, list[dict]], Column] | None" = None,
+    bins: DataFrame | None = None,
 ) -> DataFrame:
     """``owner`` and ``error`` by the full policy: hard requirements, then the node of the affinity's hash (kept if
     eligible) and without that of the anti-affinity's, then the caller if it may be local, then preferred nodes if there
     are any, by plain or weighted rendezvous. nodes: dicts with ``node`` and ``weight`` and whatever the predicates read.
 
-    Hash columns name rows' hashes of the actors to be near to or away from."""
+    Hash columns name rows' hashes of the actors to be near to or away from. Two strategies take the place of all that:
+    ``explicit`` names a column with the target, and ``custom`` makes the owner from the key's hash and the nodes. With
+    ``bins`` (of ``virtual_bins``) and without modifiers a key's owner is looked up. ``error`` is ``unavailable`` where there
+    are no nodes at all, and ``not_found`` where none may be chosen."""
+    missing = F.when(F.col("owner").isNull(), F.lit("not_found" if nodes or explicit or custom else "unavailable"))
+    if explicit:
+        return rows.withColumn("owner", F.col(explicit).cast("long")).withColumn("error", missing)
+    if custom:
+        return h.wrapped(rows, owner=lambda: custom(F.col(key_hash), nodes).cast("long")).withColumn("error", missing)
+    if bins is not None and not (require or prefer or affinity or anti or caller or weighted):
+        found = bin_of(rows, bins.count(), key_hash).join(bins.select("bin", "owner"), "bin", "left") if nodes else rows.withColumn("owner", F.lit(None).cast("long"))
+        return found.drop("bin").withColumn("error", missing)
     eligible = [n for n in nodes if require is None or require(n)]
     every = [n["node"] for n in nodes]
     out = rows
@@ -122,28 +145,13 @@ def resolve(
             out = place(out, every, column, name)
     ids = [n["node"] for n in eligible]
     preferred = [n for n in eligible if prefer is not None and prefer(n)]
-    weights = {n["node"]: n["weight"] for n in eligible}
-
-    def winner(candidates: list[int]) -> Column:
-        known = [F.struct(F.lit(n).cast("long").alias("n"), F.lit(h.signed(h.py_splitmix64(n))).cast("long").alias("m"), F.lit(float(weights[n])).alias("w")) for n in candidates]
-        if not known:
-            return F.lit(None).cast("long")
-        left = F.array(*known)
-        if anti:
-            left = F.filter(left, lambda x: x["n"] != F.col("_far"))
-
-        def score(x: Column) -> Column:
-            w = _score(x["m"], F.col(key_hash))
-            if weighted:
-                unit = (F.shiftrightunsigned(w, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-                return F.struct((x["w"] / -F.log(unit)).alias("s"), x["n"].alias("n"))
-            return F.struct(h.unsigned(w).alias("s"), x["n"].alias("n"))
 
-        return F.array_max(F.transform(left, score))["n"]
+    def winner(candidates: list[dict]) -> Column:
+        return _winner(F.col(key_hash), [(n["node"], n["weight"]) for n in candidates], weighted, F.col("_far") if anti else None)
 
     def owner() -> Column:
         among = F.array(*[F.lit(n).cast("long") for n in ids]) if ids else F.array().cast("array<long>")
-        found = F.coalesce(winner([n["node"] for n in preferred]), winner(ids)) if preferred else winner(ids)
+        found = F.coalesce(winner(preferred), winner(eligible)) if preferred else winner(eligible)
         if caller:
             local = F.array_contains(among, F.col(caller)) & (F.col(caller) != 0)
             if anti:
@@ -156,9 +164,7 @@ def resolve(
             found = F.when(near, F.col("_near"))
         return found
 
-    out = h.wrapped(out, owner=owner)
-    out = out.withColumn("error", F.when(F.col("owner").isNull(), F.lit("not_found")))
-    return out.drop("_near", "_far")
+    return h.wrapped(out, owner=owner).withColumn("error", missing).drop("_near", "_far")
 
 
 def sample(rows: DataFrame, seed: str, ratio: float) -> DataFrame:

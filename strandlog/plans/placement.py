@@ -1,19 +1,21 @@
-"""Placement of customers' actors on suppliers' nodes. Nodes have the supplier's balance as weight and nation as zone."""
+"""Placement of customers' actors on a cluster with a node for each nation.
+
+A node's weight is its suppliers' balance, its zone the region; a nation without suppliers has no weight of its own. Nodes
+know each other where a customer of the one has bought from a supplier of the other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions import hashing as h
 from strandlog.functions.hashing import sql_hash_combine, sql_splitmix64
-from strandlog.model import LOG_SQL, event_log, read
+from strandlog.model import LOG_SQL, cut, event_log, read
 from strandlog.operators import metrics
 from strandlog.operators import placement as p
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-NODES = 48  # the view's size, whatever the scale
 
 
 def query(sql: str | None = None):
@@ -27,8 +29,10 @@ def query(sql: str | None = None):
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> list[dict]:
-    rows = read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") <= NODES)
-    rows = rows.select(F.col("s_suppkey").alias("node"), p.clamp_weight(F.col("s_acctbal")).alias("weight"), F.col("s_nationkey").alias("zone"))
+    cents = F.floor(F.col("s_acctbal") * 100).cast("long")
+    balances = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum(cents).alias("cents"))
+    rows = read(spark, sf_dir, "nation").join(balances, "n_nationkey", "left")
+    rows = rows.select((F.col("n_nationkey") + 1).alias("node"), p.clamp_weight(F.col("cents")).alias("weight"), F.col("n_regionkey").alias("zone"))
     return [dict(zip(("node", "weight", "zone"), r, strict=True)) for r in p.view(rows, "node", "weight", "zone")]
 
 
@@ -40,8 +44,9 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.with_hash(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
-_N = f"""n0 AS (SELECT s_suppkey::UBIGINT AS node, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 1e-9 END AS weight, s_nationkey AS zone
- FROM supplier WHERE s_suppkey <= {NODES}), {sql_splitmix64('n0', 'node', 'nm', 'nodes')}"""
+_N = f"""w0 AS (SELECT s_nationkey, CAST(sum(CAST(floor(s_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM supplier GROUP BY ALL),
+n0 AS (SELECT (n_nationkey + 1)::UBIGINT AS node, CASE WHEN cents IS NULL THEN 1.0 WHEN cents > 0 THEN cents ELSE 1e-9 END::DOUBLE AS weight, n_regionkey AS zone
+ FROM nation LEFT JOIN w0 ON s_nationkey = n_nationkey), {sql_splitmix64('n0', 'node', 'nm', 'nodes')}"""
 _K = f"k0 AS (SELECT c_custkey::UBIGINT AS key FROM customer), {sql_hash_combine('k0', '1::UBIGINT', 'key', 'kh', 'keys')}"
 _X = f"x0 AS (SELECT *, xor(nm, kh) AS xx FROM keys, nodes), {sql_splitmix64('x0', 'xx', 'w', 'x')}"
 _SCORE = "weight / -ln(((w >> 11)::DOUBLE + 0.5) / 9007199254740992.0::DOUBLE)"
@@ -105,11 +110,11 @@ def ref_weighted_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ELIGIBLE = "SELECT * FROM x WHERE zone % 2 = 0"
 
 
-@query(f"""{PLACED}, e AS ({_ELIGIBLE}), q AS (SELECT *, max((zone < 6)::INT) OVER (PARTITION BY key) AS most FROM e)
-SELECT key::BIGINT AS key, max_by(node, (w, node))::BIGINT AS owner, NULL AS error FROM q WHERE (zone < 6)::INT = most GROUP BY key""".replace("NULL AS error", "NULL::VARCHAR AS error"))
+@query(f"""{PLACED}, e AS ({_ELIGIBLE}), q AS (SELECT *, max((zone < 2)::INT) OVER (PARTITION BY key) AS most FROM e)
+SELECT key::BIGINT AS key, max_by(node, (w, node))::BIGINT AS owner, NULL AS error FROM q WHERE (zone < 2)::INT = most GROUP BY key""".replace("NULL AS error", "NULL::VARCHAR AS error"))
 def ref_require_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even zones are required, zones below six preferred."""
-    rows = p.resolve(_keys(spark, sf_dir), _nodes(spark, sf_dir), require=lambda n: n["zone"] % 2 == 0, prefer=lambda n: n["zone"] < 6)
+    """Even zones are required, zones below two preferred."""
+    rows = p.resolve(_keys(spark, sf_dir), _nodes(spark, sf_dir), require=lambda n: n["zone"] % 2 == 0, prefer=lambda n: n["zone"] < 2)
     return rows.select("key", "owner", "error")
 
 
@@ -143,10 +148,10 @@ def ref_anti_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "owner")
 
 
-@query(f"""{PLACED}, h AS (SELECT key, max_by(node, (w, node)) AS hrw FROM x GROUP BY key), c AS (SELECT *, key % 60 AS caller FROM h)
+@query(f"""{PLACED}, h AS (SELECT key, max_by(node, (w, node)) AS hrw FROM x GROUP BY key), c AS (SELECT *, key % 40 AS caller FROM h)
 SELECT key::BIGINT AS key, CASE WHEN caller <> 0 AND caller IN (SELECT node FROM nodes) THEN caller ELSE hrw END::BIGINT AS owner FROM c""")
 def ref_local_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keys(spark, sf_dir).withColumn("caller", F.col("key") % 60)
+    rows = _keys(spark, sf_dir).withColumn("caller", F.col("key") % 40)
     return p.resolve(rows, _nodes(spark, sf_dir), caller="caller").select("key", "owner")
 
 
@@ -156,11 +161,48 @@ def ref_admitted_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.place(_keys(spark, sf_dir), [n for n in _ids(spark, sf_dir) if n % 3]).select("key", "owner")
 
 
-@query(f"{PLACED}, o AS (SELECT key, max_by(node, (w, node))::BIGINT AS owner FROM x GROUP BY key) SELECT owner, owner = 1 AS local, count(*) AS sent FROM o GROUP BY ALL")
+@query(f"""{PLACED}, o AS (SELECT key, max_by(node, (w, node))::BIGINT AS owner FROM x GROUP BY key)
+SELECT owner, owner = 1 AS local, count(*) FILTER (WHERE owner = 1 OR owner % 7 <> 0) AS sent, count(*) FILTER (WHERE owner <> 1 AND owner % 7 = 0) AS shed FROM o GROUP BY ALL""")
 def ref_distributed_tell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What node 1 keeps and what it sends to each other node."""
+    """What node 1 keeps and what it sends to each other node; what is for a congested peer is shed and counted."""
     placed = p.place(_keys(spark, sf_dir), _ids(spark, sf_dir))
-    return placed.groupBy("owner", (F.col("owner") == 1).alias("local")).agg(F.count("*").alias("sent"))
+    local, congested = F.col("owner") == 1, F.col("owner") % 7 == 0
+    return placed.groupBy("owner", local.alias("local")).agg(
+        F.count(F.when(local | ~congested, 1)).alias("sent"), F.count(F.when(~local & congested, 1)).alias("shed")
+    )
+
+
+@query("SELECT c_custkey AS key, nullif(c_custkey % 30, 0) AS owner, CASE WHEN c_custkey % 30 = 0 THEN 'not_found' END AS error FROM customer")
+def ref_explicit_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wherever the caller says; without a target it is an error."""
+    rows = _keys(spark, sf_dir).withColumn("target", F.nullif(F.col("key") % 30, F.lit(0)))
+    return p.resolve(rows, _nodes(spark, sf_dir), explicit="target").select("key", "owner", "error")
+
+
+@query(f"""WITH {_N}, {_K}, l AS (SELECT list(node ORDER BY node) AS every FROM nodes)
+SELECT key::BIGINT AS key, every[(kh >> 33)::BIGINT % len(every) + 1]::BIGINT AS owner, NULL::VARCHAR AS error FROM keys, l""")
+def ref_custom_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strategy of one's own: the hash's upper bits modulo the number of nodes."""
+
+    def modulo(key_hash: Column, nodes: list[dict]) -> Column:
+        every = F.array(*[F.lit(n["node"]).cast("long") for n in nodes])
+        return F.get(every, (F.shiftrightunsigned(key_hash, 33) % len(nodes)).cast("int"))
+
+    return p.resolve(_keys(spark, sf_dir), _nodes(spark, sf_dir), custom=modulo).select("key", "owner", "error")
+
+
+@query(f"WITH {_N}, {_K}, {_BINS}, {_BY_BIN} SELECT key::BIGINT AS key, owner::BIGINT AS owner, NULL::VARCHAR AS error FROM looked JOIN bins USING (bin)")
+def ref_bin_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without modifiers the policy looks keys up by bin."""
+    nodes = _nodes(spark, sf_dir)
+    bins = p.virtual_bins(spark, [n["node"] for n in nodes], 64)
+    return p.resolve(_keys(spark, sf_dir), nodes, bins=bins).select("key", "owner", "error")
+
+
+@query("SELECT c_custkey AS key, NULL::BIGINT AS owner, 'unavailable' AS error FROM customer")
+def ref_place_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty view is another error than a requirement that nobody meets."""
+    return p.resolve(_keys(spark, sf_dir), []).select("key", "owner", "error")
 
 
 @query(f"""WITH {LOG_SQL}, s0 AS (SELECT seq, seq::UBIGINT AS u FROM log), {sql_splitmix64('s0', 'u', 'z', 's')} SELECT seq, z <= {int(0.25 * 1.8446744073709552e19)}::UBIGINT AS sampled FROM s""")
@@ -181,20 +223,27 @@ def ref_actor_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.wrapped(event_log(spark, sf_dir), hash=lambda: h.actor_hash(F.col("actor"), F.col("seq"))).select("seq", "hash")
 
 
-@query()
+@query(f"""SELECT p_partkey, CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END::BIGINT AS hash FROM (SELECT p_partkey,
+ list_reduce(list_concat([{h.FNV_OFFSET}::HUGEINT], list_transform(range(octet_length(p_name::BLOB)::BIGINT), lambda i: ('0x' || substr(hex(p_name), 2 * i::BIGINT + 1, 2))::HUGEINT)),
+ lambda a, b: xor(a, b) * {h.FNV_PRIME} % 18446744073709551616) AS x FROM part)""")
 def ref_name_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FNV-1a of names."""
     return read(spark, sf_dir, "part").select("p_partkey", h.fnv1a("p_name").alias("hash"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who knows whom in a view of known size: everybody, by the region of two keys."""
-    nodes = read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") <= NODES).select(F.col("s_suppkey").alias("node"))
-    one = F.lit(1).alias("one")
-    return nodes.select(F.col("node").alias("self"), one).join(F.broadcast(nodes.select("node", one)), "one").select("self", "node")
-
-
-_PAIRS = f"""pairs AS (SELECT a.s_suppkey AS self, b.s_suppkey AS node FROM supplier a, supplier b WHERE a.s_suppkey <= {NODES} AND b.s_suppkey <= {NODES} AND a.s_suppkey <> b.s_suppkey),
+    """(self, node) of nodes that know each other."""
+    one = lambda name: (F.col(name) + 1).alias("a" if name[0] == "c" else "b")
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    bought = items.join(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey")
+    bought = bought.join(read(spark, sf_dir, "customer").select("c_custkey", one("c_nationkey")), "c_custkey")
+    bought = bought.join(read(spark, sf_dir, "supplier").select("s_suppkey", one("s_nationkey")), "s_suppkey")
+    met = bought.groupBy("a", "b").count().filter("a <> b")  # at most one row for two nations
+    return met.select(F.explode(F.array(F.struct(F.col("a").alias("self"), F.col("b").alias("node")), F.struct(F.col("b").alias("self"), F.col("a").alias("node")))).alias("x")).select("x.*").distinct()
+
+
+_PAIRS = """met AS (SELECT DISTINCT c_nationkey + 1 AS a, s_nationkey + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+ JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey), pairs AS (SELECT a AS self, b AS node FROM met UNION SELECT b, a FROM met),
 t AS (SELECT self, node, xor(self, node) AS d, length(bin(xor(self, node))) - 1 AS bucket FROM pairs QUALIFY row_number() OVER (PARTITION BY self, length(bin(xor(self, node))) ORDER BY xor(self, node)) <= 2)"""
 
 
@@ -203,22 +252,21 @@ def ref_xor_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.neighbours(_pairs(spark, sf_dir), 2).select("self", "node", "distance", "bucket")
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, q AS (SELECT self, node AS target FROM pairs WHERE (self + node) % 5 = 0),
+@query(f"""WITH RECURSIVE {_PAIRS}, q AS (SELECT self, node AS target FROM pairs),
 f AS (SELECT self, target, self AS at_node, 0::BIGINT AS hops FROM q
 UNION ALL SELECT f.self, f.target, b.node, f.hops + 1 FROM f JOIN LATERAL (SELECT node FROM t WHERE t.self = f.at_node ORDER BY xor(node, f.target), node LIMIT 1) b ON true
 WHERE f.at_node <> f.target AND f.hops < 4 AND xor(b.node, f.target) < xor(f.at_node, f.target))
 SELECT self, target, max(hops) AS hops, CASE WHEN max_by(at_node, hops) = target THEN 'arrived' ELSE 'stuck' END AS outcome FROM f GROUP BY self, target""")
 def ref_greedy_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    table = p.neighbours(pairs, 2).select("self", "node").cache()
-    asked = pairs.filter("self <> node and (self + node) % 5 = 0").select("self", F.col("node").alias("target"))
-    return p.routes(asked, table, 4)
+    pairs = cut(_pairs(spark, sf_dir), "pairs")
+    table = p.neighbours(pairs, 2).select("self", "node")
+    return p.routes(pairs.select("self", F.col("node").alias("target")), table, 4)
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT self, node, row_number() OVER (PARTITION BY self ORDER BY xor(self, node)) AS r FROM pairs)
-SELECT self, node, CASE WHEN r <= 4 THEN 'active' ELSE 'passive' END AS role FROM r WHERE r <= 28""")
+SELECT self, node, CASE WHEN r <= 2 THEN 'active' ELSE 'passive' END AS role FROM r WHERE r <= 14""")
 def ref_partial_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.partial_view(_pairs(spark, sf_dir), 16, 1).select("self", "node", "role")
+    return p.partial_view(_pairs(spark, sf_dir), 4, 1).select("self", "node", "role")
 
 
 @query(f"WITH {LOG_SQL} SELECT actor, seq, (row_number() OVER (PARTITION BY actor ORDER BY us, seq) - 1) % 6 AS slot FROM log")
