@@ -4,12 +4,20 @@ Time is a column, never the clock, so the same log always gives the same decisio
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from strandlog.operators.fold import KeyedFold
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandlog.operators.fold import KeyedFold, arrow_schema, ordered_fold
 
 EPSILON = 1e-9
+#: Rows of a served order that are sent on at once.
+CHUNK = 1 << 16
 
 
 class Bucket:
@@ -47,21 +55,17 @@ def limited(make: Callable[[], Limiter] | None) -> KeyedFold:
     return KeyedFold(make or (lambda: None), step, "seq long, admitted boolean")
 
 
-def single_producer() -> KeyedFold:
-    """Binding a stream's producer: the first of a key is bound, any other is refused as unavailable."""
-
-    def step(bound: str | None, row: dict) -> tuple:
-        bound = row["producer"] if bound is None else bound
-        return bound, {"seq": row["seq"], "outcome": "bound" if row["producer"] == bound else "unavailable"}
-
-    return KeyedFold(lambda: None, step, "seq long, outcome string")
+def single_producer(rows: DataFrame, key: list[str], order: list[str], producer: str = "producer") -> DataFrame:
+    """``outcome`` of binding a stream's producer: the first of a key is bound, any other is refused as unavailable."""
+    first = F.first(producer).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("outcome", F.when(F.col(producer) == first, "bound").otherwise("unavailable"))
 
 
 def token_bucket(cap: float, per_second: float, cost: str | None = None) -> KeyedFold:
     def step(bucket: Bucket, row: dict) -> tuple:
         return bucket, {"seq": row["seq"], "admitted": bucket.take(row["us"], float(row[cost]) if cost else 1.0)}
 
-    return KeyedFold(lambda: Bucket(cap, per_second), step, "seq long, admitted boolean")
+    return KeyedFold(lambda: Bucket(cap, per_second), step, "seq long, admitted boolean", reads=["us", "seq", *([cost] if cost else [])])
 
 
 def fair_share(weights: dict[str, float], total_rate: float, total_burst: float, key: str = "kind") -> KeyedFold:
@@ -76,7 +80,7 @@ def fair_share(weights: dict[str, float], total_rate: float, total_burst: float,
             bucket = Bucket(total_burst * share, total_rate * share)
         return bucket, {"seq": row["seq"], "admitted": bucket.take(row["us"])}
 
-    return KeyedFold(lambda: None, step, "seq long, admitted boolean")
+    return KeyedFold(lambda: None, step, "seq long, admitted boolean", reads=[key, "us", "seq"])
 
 
 def circuit_breaker(threshold: int, open_us: int) -> KeyedFold:
@@ -97,7 +101,7 @@ def circuit_breaker(threshold: int, open_us: int) -> KeyedFold:
             state = ("closed", 0, 0)
         return state, {"seq": row["seq"], "sent": True, "circuit": state[0]}
 
-    return KeyedFold(lambda: ("closed", 0, 0), step, "seq long, sent boolean, circuit string")
+    return KeyedFold(lambda: ("closed", 0, 0), step, "seq long, sent boolean, circuit string", reads=["us", "seq", "failed"])
 
 
 def congestion_gate(cap: float, per_second: float) -> KeyedFold:
@@ -110,7 +114,7 @@ def congestion_gate(cap: float, per_second: float) -> KeyedFold:
             return (row["until_us"], bucket), None
         return state, {"seq": row["seq"], "admitted": row["us"] >= until or bucket.take(row["us"])}
 
-    return KeyedFold(lambda: (0, Bucket(cap, per_second)), step, "seq long, admitted boolean")
+    return KeyedFold(lambda: (0, Bucket(cap, per_second)), step, "seq long, admitted boolean", reads=["us", "seq", "until_us"])
 
 
 def congestion_edge(high: int, low: int, refresh_us: int, total: str = "amount") -> KeyedFold:
@@ -126,7 +130,7 @@ def congestion_edge(high: int, low: int, refresh_us: int, total: str = "amount")
             active = False
         return (active, following), {"seq": row["seq"], "fired": fired}
 
-    return KeyedFold(lambda: (False, 0), step, "seq long, fired boolean")
+    return KeyedFold(lambda: (False, 0), step, "seq long, fired boolean", reads=["us", "seq", total])
 
 
 def restart_budget(most: int, window_us: int) -> KeyedFold:
@@ -138,7 +142,7 @@ def restart_budget(most: int, window_us: int) -> KeyedFold:
             start, count = row["us"], 0
         return (start, count + 1), {"seq": row["seq"], "allowed": count + 1 <= most}
 
-    return KeyedFold(lambda: (None, 0), step, "seq long, allowed boolean")
+    return KeyedFold(lambda: (None, 0), step, "seq long, allowed boolean", reads=["us", "seq"])
 
 
 def _source(most: int, window_us: int, state: tuple[int | None, int], us: int) -> tuple[tuple[int | None, int], bool]:
@@ -157,21 +161,33 @@ def source_cap(most: int, window_us: int) -> KeyedFold:
         state, ok = _source(most, window_us, state, row["us"])
         return state, {"seq": row["seq"], "allowed": ok}
 
-    return KeyedFold(lambda: (None, 0), step, "seq long, allowed boolean")
+    return KeyedFold(lambda: (None, 0), step, "seq long, allowed boolean", reads=["us", "seq"])
 
 
-def escalation_guard(cap: float, per_second: float, most: int, window_us: int, ttl_us: int, source: str = "actor") -> KeyedFold:
-    """A bucket over all sources, whose token is spent even if the source's own cap then rejects; admitted escalations
-    get a deadline. State grows with the sources of one key."""
+def escalation_guard(
+    rows: DataFrame, supervisor: list[str], source: list[str], order: list[str], cap: float, per_second: float, most: int, window_us: int, ttl_us: int
+) -> DataFrame:
+    """supervisor, source, seq, ``admitted``, ``deadline_us`` of each escalation (columns us, seq): a bucket over all of a
+    supervisor's sources comes first, and its token is spent even if the source's own cap then rejects. A rate, cap or
+    time to live of 0 switches that part off; without a time to live, and for what is shed, the deadline is 0.
 
-    def step(state: tuple[Bucket, dict], row: dict) -> tuple:
-        bucket, sources = state
-        ok = bucket.take(row["us"])
-        if ok:
-            sources[row[source]], ok = _source(most, window_us, sources.get(row[source], (None, 0)), row["us"])
-        return state, {"seq": row["seq"], "admitted": ok, "deadline_us": row["us"] + ttl_us if ok else 0}
+    Two folds: one down each supervisor with a bucket as its state, one down each of its sources with a count, so no
+    state grows with the sources."""
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in dict.fromkeys([*source, *order, "us", "seq"]))
 
-    return KeyedFold(lambda: (Bucket(cap, per_second), {}), step, "seq long, admitted boolean, deadline_us long")
+    def first(bucket: Bucket, row: dict) -> tuple:
+        return bucket, {c: row[c] for c in dict.fromkeys([*source, *order, "us", "seq"])} | {"_taken": per_second <= 0 or bucket.take(row["us"])}
+
+    def second(state: tuple, row: dict) -> tuple:
+        ok = row["_taken"]
+        if ok and most > 0:
+            state, ok = _source(most, window_us, state, row["us"])
+        return state, {"seq": row["seq"], "admitted": ok, "deadline_us": row["us"] + ttl_us if ok and ttl_us > 0 else 0}
+
+    taken = ordered_fold(rows, supervisor, order, KeyedFold(lambda: Bucket(cap, per_second), first, f"{fields}, _taken boolean"))
+    return ordered_fold(
+        taken, [*supervisor, *source], order, KeyedFold(lambda: (None, 0), second, "seq long, admitted boolean, deadline_us long")
+    )
 
 
 def retry(times: int, most: int, window_us: int) -> KeyedFold:
@@ -191,7 +207,7 @@ def retry(times: int, most: int, window_us: int) -> KeyedFold:
             outcome, count = ("recovered" if row["fails"] <= times else "dead_letter"), count + runs
         return (start, count), {"seq": row["seq"], "outcome": outcome}
 
-    return KeyedFold(lambda: (None, 0), step, "seq long, outcome string")
+    return KeyedFold(lambda: (None, 0), step, "seq long, outcome string", reads=["us", "seq", "fails"])
 
 
 def stabilise(settle_us: int, digest: str = "digest") -> KeyedFold:
@@ -211,7 +227,7 @@ def stabilise(settle_us: int, digest: str = "digest") -> KeyedFold:
             return (d, None, 0), {"seq": row["seq"], "committed": True}
         return state, {"seq": row["seq"], "committed": False}
 
-    return KeyedFold(lambda: None, step, "seq long, committed boolean")
+    return KeyedFold(lambda: None, step, "seq long, committed boolean", reads=["us", "seq", digest])
 
 
 def membership() -> KeyedFold:
@@ -229,65 +245,84 @@ def membership() -> KeyedFold:
         return ((status, inc) if wins else state), None
 
     return KeyedFold(
-        lambda: None, step, "status string, incarnation long", lambda s: {"status": s[0], "incarnation": s[1]}
+        lambda: None, step, "status string, incarnation long", lambda s: {"status": s[0], "incarnation": s[1]}, ["status", "incarnation"]
     )
 
 
-def rotating_reserve(bands: int, every: int) -> KeyedFold:
-    """Order in which a key's messages of ``bands`` priorities are served when all wait at once: the top band, but each
-    ``every``-th turn the next band in rotation."""
+def refutation() -> KeyedFold:
+    """What a node makes of rumours about itself: one that says it isn't alive, at its own incarnation or a later one, is
+    answered by the next incarnation, and nothing else changes it."""
 
-    def step(queues: list[list[int]], row: dict) -> tuple:
-        queues[row["band"]].append(row["seq"])
-        return queues, None
+    def step(own: int, row: dict) -> tuple:
+        refutes = row["status"] != "alive" and row["incarnation"] >= own
+        own = row["incarnation"] + 1 if refutes else own
+        return own, {"seq": row["seq"], "refuted": refutes, "own": own}
+
+    return KeyedFold(lambda: 0, step, "seq long, refuted boolean, own long", reads=["seq", "status", "incarnation"])
+
+
+def credit_channel(capacity: int, service_us: int) -> KeyedFold:
+    """A lossless stream with ``capacity`` credits: a frame that finds none left stalls its producer until the consumer, who
+    takes ``service_us`` a frame, has finished one. ``pushed_us`` and ``done_us`` of each frame, and whether it stalled.
+    The state is the time at which each of the last ``capacity`` frames is done."""
+
+    def step(state: tuple[int, list[int]], row: dict) -> tuple:
+        last, done = state
+        ready = max(row["us"], last)
+        pushed = max(ready, done[0]) if len(done) == capacity else ready
+        end = max(pushed, done[-1] if done else 0) + service_us
+        out = {"seq": row["seq"], "pushed_us": pushed, "done_us": end, "stalled": pushed > ready}
+        return (pushed, [*done[-capacity + 1 :], end] if capacity > 1 else [end]), out
 
-    def finish(queues: list[list[int]]) -> dict:
-        served, turn, cursor, heads = [], 0, 0, [0] * bands
-        left = lambda b: heads[b] < len(queues[b])
-        for _ in range(sum(map(len, queues))):
-            turn += 1
-            band = None
-            if turn % every == 0:
-                band = next(b for b in ((cursor + i) % bands for i in range(bands)) if left(b))
+    return KeyedFold(lambda: (0, []), step, "seq long, pushed_us long, done_us long, stalled boolean", reads=["us", "seq"])
+
+
+def _by_band(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*key, "band").orderBy(*order)).cast("long")
+    return rows.withColumn("_i", place - 1)
+
+
+def rotating_reserve(rows: DataFrame, key: list[str], order: list[str], bands: int, every: int) -> DataFrame:
+    """``place`` in which a key's messages of ``bands`` priorities (column ``band``) are served when all wait at once: the top
+    band, but each ``every``-th turn the next band in rotation.
+
+    The turns depend on how many wait in each band alone, so they are run from one row of counts for each key, as a
+    stream of (band, place in it, place), and joined to the messages."""
+    keys = [rows.schema[k] for k in key]
+    schema = T.StructType([*keys, *T.StructType.fromDDL("band int, _i long, place long").fields])
+
+    def turns(left: list[int]) -> Iterator[tuple[int, int, int]]:
+        total, cursor, heads = sum(left), 0, [0] * bands
+        for place in range(1, total + 1):
+            waiting = [b for b in range(bands) if heads[b] < left[b]]
+            band = waiting[0]
+            if place % every == 0:
+                band = min(waiting, key=lambda b: (b - cursor) % bands)
                 cursor = (band + 1) % bands
-            else:
-                band = next(b for b in range(bands) if left(b))
-            served.append(queues[band][heads[band]])
-            heads[band] += 1
-        return {"served": served}
-
-    return KeyedFold(lambda: [[] for _ in range(bands)], step, "served array<long>", finish)
-
-
-def deficit_round_robin(weights: list[int]) -> KeyedFold:
-    """As ``rotating_reserve`` by deficits: a band is served while it has credit, which each visit raises by its weight.
-    With weights of at least one, a band therefore keeps its turn until it is empty."""
-    bands = len(weights)
-
-    def step(queues: list[list[int]], row: dict) -> tuple:
-        queues[row["band"]].append(row["seq"])
-        return queues, None
-
-    def finish(queues: list[list[int]]) -> dict:
-        served, deficit, at, heads = [], [0] * bands, 0, [0] * bands
-        for _ in range(sum(map(len, queues))):
-            waiting = [b for b in range(bands) if heads[b] < len(queues[b])]
-            band = None
-            for b in sorted(waiting, key=lambda b: (b - at) % bands):
-                deficit[b] += weights[b]
-                if deficit[b] > 0:
-                    deficit[b] -= 1
-                    band = b
-                    break
-            if band is None:
-                band = waiting[0]
-                deficit[band] = weights[band] - 1
-            at = band
-            served.append(queues[band][heads[band]])
+            yield band, heads[band], place
             heads[band] += 1
-        return {"served": served}
 
-    return KeyedFold(lambda: [[] for _ in range(bands)], step, "served array<long>", finish)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = arrow_schema(schema)
+        for batch in batches:
+            for row in batch.to_pylist():
+                served, own = turns([row[f"_n{b}"] for b in range(bands)]), [row[k] for k in key]
+                while part := list(itertools.islice(served, CHUNK)):
+                    columns = [[x] * len(part) for x in own] + [list(c) for c in zip(*part, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    counts = rows.groupBy(*key).agg(*[F.count(F.when(F.col("band") == b, 1)).alias(f"_n{b}") for b in range(bands)])
+    return _by_band(rows, key, order).join(counts.mapInArrow(run, schema), [*key, "band", "_i"]).drop("_i")
+
+
+def deficit_round_robin(rows: DataFrame, key: list[str], order: list[str], weights: list[int]) -> DataFrame:
+    """As ``rotating_reserve`` by deficits: a band is served while it has credit, which each visit raises by its weight. A
+    visit costs one, and weights are at least one, so a band that has its turn keeps it until it is empty: the order is
+    band after band."""
+    if min(weights) < 1:
+        raise ValueError("weights of at least one")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("band", *order)).cast("long")
+    return rows.filter(F.col("band") < len(weights)).withColumn("place", place)
 
 
 def two_choices(slots: int, salt: int = 0) -> KeyedFold:
@@ -302,4 +337,4 @@ def two_choices(slots: int, salt: int = 0) -> KeyedFold:
         depth[slot] += 1
         return (t + 1, depth), {"seq": row["seq"], "slot": slot}
 
-    return KeyedFold(lambda: (0, [0] * slots), step, "seq long, slot long")
+    return KeyedFold(lambda: (0, [0] * slots), step, "seq long, slot long", reads=["seq"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.functions.hashing import sql_splitmix64
 from strandlog.model import DAY, LOG_SQL, event_log
 from strandlog.operators import governance as g
 from strandlog.operators.fold import ordered_fold
@@ -155,11 +156,31 @@ def ref_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(faults, KEY, ORDER, g.source_cap(2, 4 * DAY))
 
 
-@query()
+_GUARD = f"""WITH RECURSIVE {LOG_SQL}, e AS (SELECT *, actor % 4 AS supervisor FROM log WHERE kind = 'error'),
+b AS (SELECT *, row_number() OVER (PARTITION BY supervisor ORDER BY us, seq) AS n FROM e),
+f AS (SELECT supervisor, 0::BIGINT AS n, NULL::BIGINT AS actor, NULL::BIGINT AS us, NULL::BIGINT AS seq, 5.0::DOUBLE AS t, NULL::BIGINT AS last, false AS ok FROM (SELECT DISTINCT supervisor FROM b)
+UNION ALL SELECT supervisor, n, actor, us, seq, CASE WHEN t2 + 1e-9 >= 1 THEN t2 - 1 ELSE t2 END, last2, t2 + 1e-9 >= 1
+ FROM (SELECT b.*, {_bucket("5.0", "2e-5::DOUBLE")} FROM f JOIN b ON b.supervisor = f.supervisor AND b.n = f.n + 1)),
+c AS (SELECT supervisor, actor, us, seq, row_number() OVER (PARTITION BY supervisor, actor ORDER BY us, seq) AS n FROM f WHERE ok),
+g AS (SELECT supervisor, actor, 0::BIGINT AS n, NULL::BIGINT AS us, NULL::BIGINT AS seq, NULL::BIGINT AS start, 0::BIGINT AS c, false AS ok FROM (SELECT DISTINCT supervisor, actor FROM c)
+UNION ALL SELECT supervisor, actor, n, us, seq, CASE WHEN anew THEN us ELSE s0 END, CASE WHEN anew THEN 1 ELSE least(c0 + 1, 2) END, anew OR c0 < 2
+ FROM (SELECT c.*, g.start IS NULL OR c.us - g.start >= {4 * DAY} AS anew, g.start AS s0, g.c AS c0 FROM g JOIN c ON c.supervisor = g.supervisor AND c.actor = g.actor AND c.n = g.n + 1))
+SELECT supervisor, actor, seq, ok AS admitted, CASE WHEN ok THEN us + {HOUR} ELSE 0 END AS deadline_us FROM g WHERE n > 0
+UNION ALL SELECT supervisor, actor, seq, false, 0 FROM f WHERE n > 0 AND NOT ok"""
+
+
+@query(_GUARD)
 def ref_escalation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four supervisors over the actors; a supervisor's bucket holds for all of its actors."""
     faults = event_log(spark, sf_dir).filter("kind = 'error'").withColumn("supervisor", F.col("actor") % 4)
-    return ordered_fold(faults, ["supervisor"], ORDER, g.escalation_guard(5.0, 2e-5, 2, 4 * DAY, HOUR))
+    return g.escalation_guard(faults, ["supervisor"], ["actor"], ORDER, 5.0, 2e-5, 2, 4 * DAY, HOUR)
+
+
+@query(f"WITH {LOG_SQL} SELECT actor % 4 AS supervisor, actor, seq, true AS admitted, 0::BIGINT AS deadline_us FROM log WHERE kind = 'error'")
+def ref_escalation_guard_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All knobs at 0: nothing is shed and nothing has a deadline."""
+    faults = event_log(spark, sf_dir).filter("kind = 'error'").withColumn("supervisor", F.col("actor") % 4)
+    return g.escalation_guard(faults, ["supervisor"], ["actor"], ORDER, 5.0, 0.0, 0, 4 * DAY, 0)
 
 
 @query(
@@ -215,7 +236,33 @@ def ref_membership_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT actor, seq, CASE WHEN kind = first THEN 'bound' ELSE 'unavailable' END AS outcome FROM f""")
 def ref_single_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_log(spark, sf_dir).withColumnRenamed("kind", "producer")
-    return ordered_fold(rows, KEY, ORDER, g.single_producer())
+    return g.single_producer(rows, KEY, ORDER).select("actor", "seq", "outcome")
+
+
+@query(
+    fold_sql(
+        _RUMOURS, "0::BIGINT AS own, false AS refuted", "f.own AS o0, b.st <> 'alive' AND b.inc >= f.own AS go",
+        "CASE WHEN go THEN inc + 1 ELSE o0 END, go", "actor, seq, refuted, own",
+    )
+)
+def ref_self_refutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rumours as the node itself takes them."""
+    status = F.when((F.col("kind") == "error") & (F.col("seq") % 3 == 0), "dead").when(F.col("kind") == "click", "suspect").otherwise("alive")
+    rows = event_log(spark, sf_dir).select("actor", "us", "seq", (F.col("seq") % 4).alias("incarnation"), status.alias("status"))
+    return ordered_fold(rows, KEY, ORDER, g.refutation())
+
+
+@query(
+    fold_sql(
+        "SELECT * FROM log", "0::BIGINT AS pushed, []::BIGINT[] AS done, false AS stalled",
+        f"greatest(b.us, f.pushed) AS ready, CASE WHEN len(f.done) = 4 THEN greatest(b.us, f.pushed, f.done[1]) ELSE greatest(b.us, f.pushed) END AS p2, f.done AS d0",
+        f"p2, list_append(CASE WHEN len(d0) = 4 THEN d0[2:] ELSE d0 END, greatest(p2, coalesce(d0[-1], 0)) + {HOUR * 6}), p2 > ready",
+        "actor, seq, pushed AS pushed_us, done[-1] AS done_us, stalled",
+    )
+)
+def ref_stream_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four credits, and a consumer that takes six hours a frame: frames wait, none is lost."""
+    return ordered_fold(event_log(spark, sf_dir), KEY, ORDER, g.credit_channel(4, 6 * HOUR))
 
 
 class EveryOther:
@@ -234,18 +281,41 @@ def ref_custom_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(event_log(spark, sf_dir), KEY, ORDER, g.limited(EveryOther))
 
 
-@query()
+_BANDS = """b AS (SELECT actor, seq, seq % 3 AS band, row_number() OVER (PARTITION BY actor, seq % 3 ORDER BY us, seq) - 1 AS i FROM log),
+n AS (SELECT actor, count(*) FILTER (WHERE band = 0) AS n0, count(*) FILTER (WHERE band = 1) AS n1, count(*) FILTER (WHERE band = 2) AS n2 FROM b GROUP BY actor)"""
+_TOP = "CASE WHEN h0 < n0 THEN 0 WHEN h1 < n1 THEN 1 ELSE 2 END"
+
+
+def _from(at: str) -> str:
+    """The first band with something left, from ``at`` on in rotation."""
+    full = lambda b: f"(CASE ({b}) % 3 WHEN 0 THEN h0 < n0 WHEN 1 THEN h1 < n1 ELSE h2 < n2 END)"
+    return f"CASE WHEN {full(at)} THEN {at} WHEN {full(f'{at} + 1')} THEN ({at} + 1) % 3 ELSE ({at} + 2) % 3 END"
+
+
+_SERVED = "SELECT b.actor, b.seq, CAST(b.band AS BIGINT) AS band, f.turn AS place FROM f JOIN b ON b.actor = f.actor AND b.band = f.band AND b.i = f.i"
+
+
+@query(f"""WITH RECURSIVE {LOG_SQL}, {_BANDS}, f AS (SELECT actor, 0::BIGINT AS turn, 0::BIGINT AS cur, 0::BIGINT AS h0, 0::BIGINT AS h1, 0::BIGINT AS h2, -1::BIGINT AS band, 0::BIGINT AS i FROM n
+UNION ALL SELECT actor, turn + 1, CASE WHEN (turn + 1) % 4 = 0 THEN (k + 1) % 3 ELSE cur END, h0 + (k = 0)::INT, h1 + (k = 1)::INT, h2 + (k = 2)::INT, k, CASE k WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END
+FROM (SELECT f.*, CASE WHEN (turn + 1) % 4 = 0 THEN {_from('cur')} ELSE {_TOP} END AS k FROM f JOIN n USING (actor) WHERE turn < n0 + n1 + n2)) {_SERVED}""")
 def ref_rotating_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_log(spark, sf_dir).withColumn("band", (F.col("seq") % 3).cast("int"))
-    return ordered_fold(rows, KEY, ORDER, g.rotating_reserve(3, 4))
+    return g.rotating_reserve(rows, KEY, ORDER, 3, 4).select("actor", "seq", F.col("band").cast("long").alias("band"), "place")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG_SQL}, {_BANDS}, f AS (SELECT actor, 0::BIGINT AS turn, 0::BIGINT AS cur, 0::BIGINT AS h0, 0::BIGINT AS h1, 0::BIGINT AS h2, [0, 0, 0]::BIGINT[] AS d, -1::BIGINT AS band, 0::BIGINT AS i FROM n
+UNION ALL SELECT actor, turn + 1, k, h0 + (k = 0)::INT, h1 + (k = 1)::INT, h2 + (k = 2)::INT, [d[1] + CASE WHEN k = 0 THEN 3 ELSE 0 END, d[2] + CASE WHEN k = 1 THEN 1 ELSE 0 END, d[3]], k, CASE k WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END
+FROM (SELECT f.*, {_from('cur')} AS k FROM f JOIN n USING (actor) WHERE turn < n0 + n1 + n2)) {_SERVED}""")
 def ref_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 4, 2 and 1: a visit raises a band's credit by those and costs one."""
     rows = event_log(spark, sf_dir).withColumn("band", (F.col("seq") % 3).cast("int"))
-    return ordered_fold(rows, KEY, ORDER, g.deficit_round_robin([4, 2, 1]))
+    return g.deficit_round_robin(rows, KEY, ORDER, [4, 2, 1]).select("actor", "seq", F.col("band").cast("long").alias("band"), "place")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG_SQL}, b0 AS (SELECT actor, seq, row_number() OVER (PARTITION BY actor ORDER BY us, seq) - 1 AS n FROM log), b1 AS (SELECT *, n::UBIGINT AS t FROM b0),
+{sql_splitmix64('b1', 't', 'r', 'b')}, f AS (SELECT actor, -1::BIGINT AS n, NULL::BIGINT AS seq, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS depth, 0::BIGINT AS slot FROM (SELECT DISTINCT actor FROM b)
+UNION ALL SELECT actor, n, seq, list_concat(depth[1:k], [depth[k + 1] + 1], depth[k + 2:8]), k FROM (
+ SELECT *, CASE WHEN depth[x + 1] <= depth[y + 1] THEN x ELSE y END AS k FROM (SELECT b.actor, b.n, b.seq, f.depth, (r % 8)::BIGINT AS x, ((r >> 32) % 8)::BIGINT AS y FROM f JOIN b ON b.actor = f.actor AND b.n = f.n + 1)))
+SELECT actor, seq, slot FROM f WHERE n >= 0""")
 def ref_two_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(event_log(spark, sf_dir), KEY, ORDER, g.two_choices(8))
