@@ -169,3 +169,20 @@ def boundaries(buckets: int, shift: int, step: int) -> list[int]:
 
 #: Buckets, shift and step of the two histograms in use.
 LATENCY_NS, MAILBOX_DEPTH = (48, 4, 4), (32, 0, 3)
+
+
+_SAMPLED = -(1 << 63)
+
+
+def make_trace_id(seed: Column, sampled: Column) -> Column:
+    """A trace's id: the seed's low 63 bits, and the sampling decision on top, made once and carried along."""
+    kept = seed.bitwiseAND(F.lit(MAX_LONG))
+    return F.when(sampled, kept.bitwiseOR(F.lit(_SAMPLED).cast("long"))).otherwise(kept)
+
+
+def trace_is_sampled(trace_id: Column) -> Column:
+    return trace_id < 0
+
+
+def trace_correlation(trace_id: Column) -> Column:
+    return trace_id.bitwiseAND(F.lit(MAX_LONG))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -56,8 +57,31 @@ DELIVERED_SQL = (
 )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a new temporary
+    one is set, but only if the session runs on this machine alone; elsewhere executors wouldn't see it, so this raises."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            found = known.get()
+        elif re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            found = Path(tempfile.mkdtemp(prefix="strandlog-")).as_uri()
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def work_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below the one that driver and executors share: the session's spark.checkpoint.dir, or a temporary one
-    where that is unset, as in tests on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="strandlog-")).as_uri()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+    """Write a table to the shared folder and read it back: later jobs neither recompute it nor depend on one executor's
+    disk, and which rows lie in which partition stays fixed from here on."""
+    path = work_folder(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

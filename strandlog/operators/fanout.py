@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.scalars import earlier
+from strandlog.operators.logs import placed
 
 
 def subscribe(requests: DataFrame, topic: str = "topic", subscriber: str = "subscriber", order: str = "at_us") -> DataFrame:
@@ -21,10 +22,20 @@ def publish(messages: DataFrame, subscribers: DataFrame, topic: str = "topic") -
     return messages.join(subscribers.dropDuplicates([topic, "subscriber"]), topic)
 
 
-def publish_during(messages: DataFrame, subscriptions: DataFrame, topic: str = "topic", at: str = "us") -> DataFrame:
-    """Only to those subscribed when it is published: from ``since`` on and before ``until``, if that isn't null."""
-    rows = messages.join(subscriptions, topic)
-    return rows.filter((F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until"))))
+def reached_during(messages: DataFrame, subscriptions: DataFrame, topic: str = "topic", at: str = "us") -> DataFrame:
+    """``reached``: how many are subscribed when a message is published: from ``since`` on and before ``until``, if that
+    isn't null. Subscriptions are steps up and down of one running sum, so no message meets a subscription row by row;
+    messages that reach nobody are left out."""
+    none = F.lit(0).cast("long")
+    real = subscriptions.filter("until is null or since < until")
+    steps = real.select(
+        topic, F.explode(F.array(F.struct(F.col("since").alias("_at"), F.lit(1).cast("long").alias("_step")),
+                                 F.struct(F.col("until").alias("_at"), F.lit(-1).cast("long").alias("_step")))).alias("x")
+    ).select(topic, "x._at", "x._step").filter("_at is not null")
+    steps = steps.groupBy(topic, "_at").agg(F.sum("_step").alias("_step")).withColumn("_message", F.lit(0))
+    rows = messages.select("*", F.col(at).alias("_at"), none.alias("_step"), F.lit(1).alias("_message"))
+    summed = placed(rows.unionByName(steps, allowMissingColumns=True), [topic], ["_at", "_message"], "reached", F.col("_step"))
+    return summed.filter("_message = 1 and reached > 0").select(*messages.columns, "reached")
 
 
 def inbox_size(capacity: int) -> int:
@@ -53,9 +64,9 @@ def evictions(pairs: DataFrame, lane: list[str]) -> DataFrame:
 
 
 def topic_sequence(messages: DataFrame, subscribers: DataFrame, order: list[str], topic: str = "topic") -> DataFrame:
-    """``number``: consumed only by messages that had a subscriber."""
+    """``number``: consumed only by messages that had a subscriber. A topic's rows are numbered range by range."""
     heard = messages.join(subscribers.select(topic).distinct(), topic, "left_semi")
-    return heard.withColumn("number", F.row_number().over(Window.partitionBy(topic).orderBy(*order)).cast("long"))
+    return placed(heard, [topic], order, "number")
 
 
 def child_context(parent_deadline: Column, own_deadline: Column, parent_trace: Column) -> dict[str, Column]:

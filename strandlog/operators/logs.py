@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.model import cut
 from strandlog.operators.fold import KeyedFold, ordered_fold
 
 
@@ -21,6 +22,23 @@ def fifo_position(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     return rows.withColumn("pos", F.row_number().over(_w(key, order)).cast("long"))
 
 
+def placed(rows: DataFrame, key: list[str], order: list[str], out: str = "pos", value: Column | None = None) -> DataFrame:
+    """As ``fifo_position``, or as ``running_total`` of a ``value``, for few keys with very many rows: rows are dealt into
+    ranges of (key, order) and written, each range's rows are ranked or summed by themselves, and what lies in earlier
+    ranges of the key is added. Only one number for each key and range is ranked in one place. Rows that agree in key and
+    order lie in one range."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_v", F.lit(1).cast("long") if value is None else value.cast("long"))
+    dealt = cut(dealt.repartitionByRange(n, *key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    each = dealt.groupBy(*[F.col(k).alias(f"_{k}") for k in key], F.col("_range").alias("_r")).agg(F.sum("_v").alias("_n"))
+    earlier = Window.partitionBy(*[f"_{k}" for k in key]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = [dealt[k].eqNullSafe(before[f"_{k}"]) for k in key] + [dealt["_range"] == before["_r"]]
+    within = F.sum("_v").over(Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(out, within).join(before, same).withColumn(out, F.col(out) + F.col("_before")).select(*rows.columns, out)
+
+
 def running_total(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """``total``: the key's sum up to and including this row, which is what an ask at this row would return."""
     w = _w(key, order).rowsBetween(Window.unboundedPreceding, 0)
@@ -154,6 +172,27 @@ def drop_oldest(rows: DataFrame, key: list[str], order: list[str], bound: int) -
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= bound).drop("_r")
 
 
+def fail_when_full(rows: DataFrame, key: list[str], order: list[str], bound: int) -> DataFrame:
+    """``outcome`` of a burst into a bounded queue that neither drops nor waits: senders beyond the bound are told so."""
+    full = F.col("pos") > bound
+    return fifo_position(rows, key, order).withColumn("outcome", F.when(full, "overflow").otherwise("queued")).drop("pos")
+
+
+def cancelled(queue: DataFrame, cancels: DataFrame, key: list[str]) -> DataFrame:
+    """Messages that a cancel has taken out: it names the message's generation and comes before the message is claimed.
+    queue: key, generation, claimed_at; cancels: key, generation, cancel_at."""
+    first = cancels.groupBy(*key, "generation").agg(F.min("cancel_at").alias("_at"))
+    return queue.join(first, [*key, "generation"]).filter(F.col("_at") < F.col("claimed_at")).drop("_at")
+
+
+def persisted(rows: DataFrame, key: list[str], order: list[str], batch: int = 1) -> DataFrame:
+    """``durable_at`` is the row whose handling makes a row durable: itself (``batch`` 1, before its reply is sent), or the
+    last one of its batch, so that a crash loses at most the batch that is open. Rows of an open batch have none."""
+    rows = fifo_position(rows, key, order).withColumn("_b", F.floor((F.col("pos") - 1) / batch))
+    w = Window.partitionBy(*key, "_b")
+    return rows.withColumn("durable_at", F.when(F.count("*").over(w) == batch, F.max("pos").over(w))).drop("_b")
+
+
 def torn_tail(rows: DataFrame, key: list[str], order: list[str], good: Column) -> DataFrame:
     """Rows of a write-ahead log before its first bad frame."""
     w = _w(key, order).rowsBetween(Window.unboundedPreceding, 0)

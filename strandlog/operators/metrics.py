@@ -72,6 +72,17 @@ def bounded_instances(rows: DataFrame, by: list[str], instance: str, order: list
     return rows.join(placed.select(*by, instance, slot.alias("slot")), [*by, instance])
 
 
+def slot_use(rows: DataFrame, by: list[str], instance: str) -> DataFrame:
+    """Of rows with their ``slot``: slots taken, instances that found none, and the rows of those."""
+    other = F.col("slot") == "other"
+    each = rows.groupBy(*by, instance, other.alias("_other")).agg(F.count("*").alias("_n"))
+    return each.groupBy(*by).agg(
+        F.count(F.when(~F.col("_other"), 1)).alias("slots"),
+        F.count(F.when(F.col("_other"), 1)).alias("exhausted"),
+        F.coalesce(F.sum(F.when(F.col("_other"), F.col("_n"))), F.lit(0).cast("long")).alias("other"),
+    )
+
+
 def skew(rows: DataFrame, owner: str, owners: DataFrame) -> DataFrame:
     """Spread of rows over all owners, those without rows included: how many are idle, largest over mean, and the
     coefficient of variation, each rounded to six places."""

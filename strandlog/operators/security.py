@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.model import cut
+
 
 def dominates(rights: Column, required: Column) -> Column:
     """All required bits are among the rights."""
@@ -30,6 +32,12 @@ def deny_audit(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.filter(~F.col("allowed")).groupBy(*by).agg(F.count("*").alias("denied"))
 
 
+def audit(rows: DataFrame, kind: int, code: Column, subject: str, detail: Column, at: str = "us") -> DataFrame:
+    """Audit records of the rows: kind, code, subject (never a secret), detail, and when."""
+    number = F.lit(kind).cast("long")
+    return rows.select(number.alias("kind"), code.cast("long").alias("code"), F.col(subject).alias("subject"), detail.alias("detail"), F.col(at).alias("us"))
+
+
 def live(rows: DataFrame, revoked: DataFrame, key: str) -> DataFrame:
     return rows.join(revoked.select(key).distinct(), key, "left_anti")
 
@@ -57,11 +65,23 @@ def unseal(rows: DataFrame, key: bytes, bound_to: Column) -> DataFrame:
     return rows.withColumn("body", F.try_aes_decrypt(F.col("sealed"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), bound_to).cast("string"))
 
 
-def span_depths(spans: DataFrame, levels: int) -> DataFrame:
-    """``depth`` of each span below its root, by one join for each level."""
-    found = spans.filter(F.col("parent").isNull()).select("span", F.lit(0).cast("long").alias("depth"))
-    edge = found
-    for depth in range(1, levels + 1):
-        edge = spans.join(edge.select(F.col("span").alias("parent")), "parent").select("span", F.lit(depth).cast("long").alias("depth"))
-        found = found.union(edge)
-    return found
+def span_depths(spans: DataFrame) -> DataFrame:
+    """``depth`` of each span below its root, however deep. Each round doubles how far a span looks up, so there are as many
+    joins as the greatest depth has bits. Spans whose line ends at no root (a missing parent, or a ring) have no depth and
+    are left out."""
+    known = spans.filter(F.col("parent").isNull()).select("span", F.lit(0).cast("long").alias("depth"))
+    open_ = spans.filter(F.col("parent").isNotNull()).select("span", F.col("parent").alias("up"), F.lit(1).cast("long").alias("by"))
+    state = cut(known.withColumns({"up": F.lit(None).cast(open_.schema["up"].dataType), "by": F.lit(0).cast("long")}).unionByName(open_, True), "spans")
+    left = state.filter("depth is null").count()
+    while left:
+        above = state.select(F.col("span").alias("up"), F.col("up").alias("up2"), F.col("by").alias("by2"), F.col("depth").alias("d2"))
+        met = state.filter("depth is null").join(above, "up")  # a missing parent drops out
+        now = met.select(
+            "span", (F.col("by") + F.col("d2")).alias("depth"), F.when(F.col("d2").isNull(), F.col("up2")).alias("up"),
+            (F.col("by") + F.when(F.col("d2").isNull(), F.col("by2")).otherwise(0)).alias("by"),
+        )
+        state = cut(state.filter("depth is not null").unionByName(now), "spans")
+        before, left = left, state.filter("depth is null").count()
+        if left == before:  # every round settles some of a line that has a root, so what is left are rings
+            break
+    return state.filter("depth is not null").select("span", "depth")

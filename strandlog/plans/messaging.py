@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions import scalars as sc
 from strandlog.functions.hashing import GOLDEN, hash_combine, sql_hash_combine, sql_splitmix64, wrapped
-from strandlog.model import DAY, LOG_SQL, event_log, read
+from strandlog.model import DAY, LOG_SQL, cut, event_log, read
 from strandlog.operators import evolution, fanout, logs, schedule, security
 from strandlog.operators import placement as p
+from strandlog.operators.fold import KeyedFold, ordered_fold, with_lifecycle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,12 +41,14 @@ def ref_type_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).select("seq", handled.otherwise(0).cast("long").alias("handled"))
 
 
-@query(f"""WITH {LOG_SQL} SELECT seq, actor FROM log WHERE NOT (seq % 9 = 0 AND seq % 2 = 0)""")
+@query(f"""WITH {LOG_SQL} SELECT seq, actor FROM log WHERE NOT (seq % 9 = 0 AND seq % 2 = 0 AND amount % 100 < 50)""")
 def ref_cancelled_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cancels of each ninth message; those of odd ones carry an old generation and cancel nothing."""
-    log = event_log(spark, sf_dir).withColumn("generation", F.lit(2))
-    cancels = log.filter("seq % 9 = 0").select("seq", F.when(F.col("seq") % 2 == 0, 2).otherwise(1).alias("generation"))
-    return log.join(cancels, ["seq", "generation"], "left_anti").select("seq", "actor")
+    """Messages are claimed half a second after they were sent. Each ninth is cancelled, some too late; cancels of odd ones
+    carry an old generation. Both change nothing."""
+    log = event_log(spark, sf_dir).withColumn("generation", F.lit(2)).withColumn("claimed_at", F.col("us") + 500_000)
+    generation, at = F.when(F.col("seq") % 2 == 0, 2).otherwise(1), F.col("us") + F.col("amount") % 100 * 10_000
+    cancels = log.filter("seq % 9 = 0").select("seq", generation.alias("generation"), at.alias("cancel_at"))
+    return log.join(logs.cancelled(log, cancels, ["seq"]), ["seq"], "left_anti").select("seq", "actor")
 
 
 @query("""SELECT s_suppkey AS node, s_nationkey % 2 = 0 AS flagged, 'zone' || (s_nationkey % 3) = 'zone1' AS zoned, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 1e-9 END AS weight FROM supplier""")
@@ -177,7 +181,7 @@ def ref_subscription_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     subs = log.groupBy(F.col("kind").alias("topic"), F.col("actor").alias("subscriber")).agg(F.min("us").alias("since"))
     subs = subs.withColumn("until", F.when(F.col("subscriber") % 3 != 0, F.col("since") + F.col("subscriber") * (DAY // 8)))
-    return fanout.publish_during(_messages(spark, sf_dir), subs).groupBy("seq").agg(F.count("*").alias("reached"))
+    return fanout.reached_during(_messages(spark, sf_dir), subs).select("seq", "reached")
 
 
 @query(f"WITH {LOG_SQL} SELECT kind AS topic, actor AS subscriber, seq, row_number() OVER (PARTITION BY kind, actor ORDER BY seq) = 1 AS fresh FROM log")
@@ -208,11 +212,11 @@ def ref_one_shot_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).select("seq", schedule.one_shot(now, F.col("amount"), 10).alias("expiry"))
 
 
-_SERIES = "fires AS (SELECT actor, seq, unnest(range(amount, 20001, 1000 + actor)) AS fire FROM log WHERE seq % 20 = 0)"
+_SERIES = "fires AS (SELECT actor, seq, unnest(range(amount, 20001, 1000 + actor)) AS fire FROM log)"
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_log(spark, sf_dir).filter("seq % 20 = 0")
+    rows = event_log(spark, sf_dir)
     return schedule.series(rows, F.col("amount"), 1000 + F.col("actor"), F.lit(20000).cast("long"))
 
 
@@ -221,11 +225,11 @@ def ref_periodic_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(spark, sf_dir).select("seq", "fire")
 
 
-@query(f"WITH {LOG_SQL}, {_SERIES} SELECT seq, fire FROM fires WHERE NOT (seq % 40 = 0 AND fire > 9000)")
+@query(f"WITH {LOG_SQL}, {_SERIES} SELECT seq, fire FROM fires WHERE NOT (seq % 2 = 0 AND fire > 9000)")
 def ref_timer_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second timer is cancelled at 9000; an older generation's cancel changes nothing."""
     fires = _series(spark, sf_dir).withColumn("generation", F.lit(1))
-    at = fires.select("seq").distinct().filter("seq % 40 = 0").withColumn("cancel_at", F.lit(9000))
+    at = fires.select("seq").distinct().filter("seq % 2 = 0").withColumn("cancel_at", F.lit(9000))
     cancels = at.withColumn("generation", F.lit(1)).unionByName(fires.select("seq").distinct().withColumn("cancel_at", F.lit(1)).withColumn("generation", F.lit(0)))
     return schedule.without_cancelled(fires, cancels, ["seq"]).select("seq", "fire")
 
@@ -252,6 +256,14 @@ def ref_reminder_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.flatten_wave(_ranked(spark, sf_dir), ["o_orderpriority"], ["rank"], 40).select("o_orderkey", "tick")
 
 
+@query(f"WITH {_FLAT}, p AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY rank) - 1 AS k FROM r) SELECT o_orderkey, k // 85 * 3 + CASE WHEN k % 85 < 15 THEN 0 WHEN k % 85 < 45 THEN 1 ELSE 2 END AS tick FROM p")
+def ref_reminder_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen tokens a bucket and ticks after one, two and four buckets: the third tick's sixty are capped at the credit of
+    forty."""
+    granted = schedule.grants([1, 2, 4], 15, 40)
+    return schedule.paced_wave(_ranked(spark, sf_dir), ["o_orderpriority"], ["rank"], granted).select("o_orderkey", "tick")
+
+
 @query(f"WITH {_FLAT} SELECT o_orderkey FROM r QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY rank) <= 100")
 def ref_reminder_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a rate all that are ready fire, up to the credit."""
@@ -259,6 +271,16 @@ def ref_reminder_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).withColumn("r", place).filter("r <= 100").select("o_orderkey")
 
 
+@query(f"""WITH {LOG_SQL}, s AS (SELECT actor, kind AS name, max(us) AS due, CASE WHEN actor % 2 = 0 THEN {HOUR} ELSE 0 END AS period FROM log GROUP BY ALL)
+SELECT actor, name, due + CASE WHEN actor % 5 <> 0 THEN period ELSE 0 END AS due, period FROM s WHERE actor % 5 = 0 OR period > 0""")
+def ref_reminder_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reminders fire; a crash loses the confirmations of each fifth actor, so theirs are still in the store."""
+    due = event_log(spark, sf_dir).groupBy("actor", F.col("kind").alias("name")).agg(F.max("us").alias("due"))
+    store = due.withColumn("period", F.when(F.col("actor") % 2 == 0, F.lit(HOUR)).otherwise(0))
+    fired = store.select("actor", "name", (F.col("actor") % 5 != 0).alias("confirmed"))
+    return schedule.confirm(store, fired, ["actor", "name"]).select("actor", "name", "due", "period")
+
+
 @query(f"WITH {LOG_SQL} SELECT actor, kind AS name, us // {DAY} AS scheduled FROM log GROUP BY ALL")
 def ref_reminder_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firings that a crash repeats are dropped by (actor, name, scheduled)."""
@@ -318,11 +340,12 @@ def ref_sealed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.unseal(sealed, b"0123456789abcdef", bound(claimed)).select("seq", "body")
 
 
-@query(f"""WITH RECURSIVE {LOG_SQL}, s AS (SELECT seq AS span, CASE WHEN seq % 5 = 0 THEN NULL ELSE seq - 1 END AS parent FROM log),
+@query(f"""WITH RECURSIVE {LOG_SQL}, s AS (SELECT seq AS span, CASE WHEN seq % 50 = 0 THEN NULL ELSE seq - 1 END AS parent FROM log),
 t AS (SELECT span, 0::BIGINT AS depth FROM s WHERE parent IS NULL UNION ALL SELECT s.span, t.depth + 1 FROM t JOIN s ON s.parent = t.span) SELECT span, depth FROM t""")
 def ref_span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = event_log(spark, sf_dir).select(F.col("seq").alias("span"), F.when(F.col("seq") % 5 != 0, F.col("seq") - 1).alias("parent"))
-    return security.span_depths(spans, 4)
+    """Chains of fifty spans."""
+    spans = event_log(spark, sf_dir).select(F.col("seq").alias("span"), F.when(F.col("seq") % 50 != 0, F.col("seq") - 1).alias("parent"))
+    return security.span_depths(spans)
 
 
 @query(f"""WITH {LOG_SQL}, t AS (SELECT *, CASE WHEN kind = 'error' THEN 'failed' WHEN kind = 'purchase' THEN 'closed' END AS cause FROM log)
@@ -349,3 +372,64 @@ def ref_revocation_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, other = nodes.filter("node % 3 = 0").withColumn("own", F.lit(1)), nodes.filter("node % 2 = 0")
     merged = other.union(own.select("node")).distinct().join(own, "node", "left")
     return merged.select("node", F.col("own").isNull().alias("changed"))
+
+
+@query(f"""WITH {LOG_SQL}, p AS (SELECT *, row_number() OVER ({WINDOW}) AS pos, count(*) OVER (PARTITION BY actor) AS n FROM log)
+SELECT actor, count(*) AS acked, count(*) FILTER (WHERE pos <= n // 8 * 8) AS batched, count(*) AS synced FROM p GROUP BY actor""")
+def ref_persist_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crash after the last row leaves: every acknowledged row in the one mode, all but an open batch of eight in the
+    other."""
+    log = event_log(spark, sf_dir)
+    synced = logs.persisted(log, ["actor"], ["us", "seq"]).groupBy("actor").agg(F.count("*").alias("acked"), F.count("durable_at").alias("synced"))
+    batched = logs.persisted(log, ["actor"], ["us", "seq"], 8).groupBy("actor").agg(F.count("durable_at").alias("batched"))
+    return synced.join(batched, "actor").select("actor", "acked", "batched", "synced")
+
+
+@query(f"WITH {LOG_SQL} SELECT actor, seq, CASE WHEN row_number() OVER ({WINDOW}) > 20 THEN 'overflow' ELSE 'queued' END AS outcome FROM log")
+def ref_overflow_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded queue that tells its senders."""
+    return logs.fail_when_full(event_log(spark, sf_dir), ["actor"], ["us", "seq"], 20).select("actor", "seq", "outcome")
+
+
+_LIVES = f"""n AS (SELECT *, us - lag(us) OVER ({WINDOW}) > {DAY} AS idle, lag(kind) OVER ({WINDOW}) = 'error' AS restarted FROM log),
+m AS (SELECT *, sum(coalesce(idle, false)::INT) OVER w + sum(coalesce(restarted, false)::INT) OVER w AS activation FROM n WINDOW w AS ({WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, sum(amount) OVER (PARTITION BY actor, activation ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM m)"""
+
+
+@query(f"""WITH {LOG_SQL}, {_LIVES} SELECT actor, seq, CAST(total AS BIGINT) AS total, CAST(activation AS BIGINT) AS activation,
+CAST(CASE WHEN idle THEN CASE WHEN restarted THEN 0 ELSE lag(total) OVER ({WINDOW}) END END AS BIGINT) AS flushed FROM t""")
+def ref_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running total that is flushed when its actor is passivated after an idle day, and starts anew after a fault."""
+    step = lambda total, row: (total + row["amount"], {"seq": row["seq"], "total": total + row["amount"]})
+    fold = KeyedFold(lambda: 0, step, "seq long, total long", reads=["seq", "amount"])
+    rows = event_log(spark, sf_dir).withColumn("fault", F.col("kind") == "error")
+    return ordered_fold(rows, ["actor"], ["us", "seq"], with_lifecycle(fold, lambda total: {"flushed": total}, "flushed long", "us", DAY, "fault"))
+
+
+_AUDIT = (("authn_failure", 0), ("authz_denial", 1), ("cluster_admission", 2), ("secret_failure", 3), ("amplification_refused", 4), ("placement_rejected", 5), ("other", 6))
+
+
+@query(f"""WITH {LOG_SQL}, {_ACL}, a AS (SELECT us, actor AS subject, CASE WHEN required IS NULL THEN 2 ELSE 1 END AS code, 1 AS kind, 'no right to ' || kind AS detail FROM m LEFT JOIN rules USING (kind) WHERE NOT (required IS NOT NULL AND (required & ~rights) = 0)
+UNION ALL SELECT us, actor, 4, 4, 'rights beyond the caller''s' FROM log WHERE ((seq % 16) & ~(actor % 16)) <> 0
+UNION ALL SELECT us, actor, 5, 5, 'node not admitted' FROM log WHERE actor % 3 = 0)
+SELECT CAST(kind AS BIGINT) AS kind, CAST(code AS BIGINT) AS code, subject, detail, count(*) AS n, max(us) AS last_us FROM a GROUP BY ALL""")
+def ref_audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Denials, refused amplifications and rejected placements as records of kind, code, subject, detail and time in one
+    append-only table, and how many of each there are."""
+    number = dict(_AUDIT)
+    denied = _authorised(spark, sf_dir).filter("not allowed")
+    code = F.when(F.col("required").isNull(), 2).otherwise(1)
+    log = event_log(spark, sf_dir)
+    records = security.audit(denied, number["authz_denial"], code, "actor", F.concat(F.lit("no right to "), F.col("kind")))
+    beyond = log.filter(security.amplifies(F.col("actor") % 16, F.col("seq") % 16))
+    records = records.unionByName(security.audit(beyond, number["amplification_refused"], F.lit(4), "actor", F.lit("rights beyond the caller's")))
+    records = records.unionByName(security.audit(log.filter("actor % 3 = 0"), number["placement_rejected"], F.lit(5), "actor", F.lit("node not admitted")))
+    kept = cut(records, "audit")
+    return kept.groupBy("kind", "code", "subject", "detail").agg(F.count("*").alias("n"), F.max("us").alias("last_us"))
+
+
+@query(f"""WITH {LOG_SQL} SELECT seq, CASE WHEN seq % 2 = 1 THEN CAST(actor AS HUGEINT) - 9223372036854775808 ELSE actor END::BIGINT AS trace_id, seq % 2 = 1 AS sampled, actor AS correlation FROM log""")
+def ref_trace_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling decision is the top bit of a trace's id and travels with it."""
+    rows = event_log(spark, sf_dir).withColumn("trace_id", sc.make_trace_id(F.col("actor"), F.col("seq") % 2 == 1))
+    return rows.select("seq", "trace_id", sc.trace_is_sampled(F.col("trace_id")).alias("sampled"), sc.trace_correlation(F.col("trace_id")).alias("correlation"))

@@ -93,6 +93,17 @@ def ref_bounded_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "slot").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {LOG_SQL}, f AS (SELECT actor % 4 AS shard, kind, actor, count(*) AS n FROM log GROUP BY ALL),
+w AS (SELECT actor % 4 AS shard, kind, actor, min((us, seq)) AS first FROM log GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY shard, kind ORDER BY first, actor) AS r FROM w)
+SELECT shard, kind, count(*) FILTER (WHERE r <= 3) AS slots, count(*) FILTER (WHERE r > 3) AS exhausted, CAST(coalesce(sum(n) FILTER (WHERE r > 3), 0) AS BIGINT) AS other FROM r JOIN f USING (shard, kind, actor) GROUP BY shard, kind""")
+def ref_instance_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three slots for each shard and kind: how many are taken, how often there was none, and what instances without one
+    handled."""
+    rows = event_log(spark, sf_dir).withColumn("shard", F.col("actor") % 4)
+    slotted = metrics.bounded_instances(rows, ["shard", "kind"], "actor", ["us", "seq"], 3)
+    return metrics.slot_use(slotted, ["shard", "kind"], "actor")
+
+
 @query(f"WITH {DELIVERED_SQL} SELECT actor, max(copy) AS copy, max_by(amount, (seq % 10, copy, amount)) AS amount FROM delivered GROUP BY actor".replace(
     "max(copy) AS copy", "max_by(copy, (seq % 10, copy, amount)) AS copy"))
 def ref_last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +113,7 @@ def ref_last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DELIVERED_SQL}, m AS (SELECT *, max(seq) OVER (PARTITION BY actor ORDER BY arrived, seq, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM delivered)
-SELECT actor, count(*) AS sent, count(*) FILTER (WHERE high IS NULL OR seq > high) AS received, count(*) FILTER (WHERE seq <= high) AS lost, true AS whole FROM m GROUP BY actor""")
+SELECT actor, count(*) AS sent, count(*) FILTER (WHERE high IS NULL OR seq > high) AS received, count(*) FILTER (WHERE seq <= high) AS lost, count(*) = count(*) FILTER (WHERE high IS NULL OR seq > high) + count(*) FILTER (WHERE seq <= high) AS whole FROM m GROUP BY actor""")
 def ref_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every delivery is either accepted or accounted for as a duplicate."""
     rows = logs.mark_duplicates(delivered(event_log(spark, sf_dir)), ["actor"], ["arrived", "seq", "copy"])
