@@ -10,9 +10,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 MAX_BODY = 16 << 20
 PIECE = 1 << 20
@@ -53,6 +55,35 @@ def frame(body: bytes, checked: bool = False) -> bytes:
     return len(body).to_bytes(4, "little") + crc + body
 
 
+def write(rows: DataFrame, folder: str, by: str, order: str) -> None:
+    """Write each peer's bodies (columns ``by``, ``order``, ``body``) in order as checked frames to a file of its own. Rows with
+    ``torn`` set get a checksum that is wrong, as after a crash. A file's name has the peer and its first attempt; one that a
+    lost task left behind is overwritten."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, peer, n = None, None, 0
+        files, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+        files.create_dir(base, recursive=True)
+        try:
+            for batch in batches:
+                for own, body, torn in zip(*(batch.column(c).to_pylist() for c in (by, "body", "torn")), strict=True):
+                    if out is None or own != peer:
+                        if out is not None:
+                            out.close()
+                        out, peer = files.open_output_stream(f"{base}/peer-{own}.frames", compression=None), own
+                    data = frame(body, True)
+                    out.write(data[:4] + bytes(b ^ 255 for b in data[4:8]) + data[8:] if torn else data)
+                    n += 1
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    torn = F.col("torn") if "torn" in rows.columns else F.lit(False)
+    dealt = rows.select(by, order, "body", torn.alias("torn")).repartition(by).sortWithinPartitions(by, order)
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def _files(uri: str) -> tuple[pafs.FileSystem, list[str]]:
     files, base = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
     info = files.get_file_info(base)
@@ -83,24 +114,27 @@ class _Reader(DataSourceReader):
                     number += 1
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Each file is read once; files arrive whole, under names that sort in order of arrival."""
+class _StreamReader(DataSourceStreamReader):
+    """Each file is read once, by a task of its own; files arrive whole, under names that sort in order of arrival. Only
+    names reach the driver."""
 
     def __init__(self, options: dict):
         self.reader = _Reader(options)
 
+    def _name(self, part: _File) -> str:
+        return part.path.rsplit("/", 1)[-1]
+
     def initialOffset(self) -> dict:
         return {"after": ""}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        fresh = [p for p in self.reader.partitions() if p.path.rsplit("/", 1)[-1] > start["after"]]
-        rows = [row for p in fresh for row in self.reader.read(p)]
-        return iter(rows), {"after": fresh[-1].path.rsplit("/", 1)[-1] if fresh else start["after"]}
+    def latestOffset(self) -> dict:
+        return {"after": max(map(self._name, self.reader.partitions()), default="")}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for p in self.reader.partitions():
-            if start["after"] < p.path.rsplit("/", 1)[-1] <= end["after"]:
-                yield from self.reader.read(p)
+    def partitions(self, start: dict, end: dict) -> list[_File]:
+        return [p for p in self.reader.partitions() if start["after"] < self._name(p) <= end["after"]]
+
+    def read(self, part: _File) -> Iterator[tuple]:
+        return self.reader.read(part)
 
     def commit(self, end: dict) -> None:
         pass
@@ -117,7 +151,7 @@ class FrameSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(self.options)
 
 

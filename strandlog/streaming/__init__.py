@@ -19,7 +19,12 @@ from strandlog.operators.fold import KeyedFold
 
 def fold_stream(stream: DataFrame, key: list[str], order: list[str], fold: KeyedFold, idle_ms: int | None = None) -> DataFrame:
     """What the fold's steps emit, as rows arrive. With ``idle_ms`` a key's state goes once nothing has come for so long
-    (by the processing clock), after its ``finish``."""
+    (by the processing clock), after its ``finish``.
+
+    Rows of one key in one micro-batch are put in order in memory, as a stream can't be sorted before it; so the source
+    has to bound a micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). Between batches only the state is kept."""
+    if fold.reads is not None:
+        stream = stream.select(*dict.fromkeys([*key, *order, *fold.reads]))
     keys = [stream.schema[k] for k in key]
     schema = T.StructType([*keys, *fold.emits.fields])
     names = schema.fieldNames()
