@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import time
+from datetime import timedelta
 
 import pytest
 
 from strandlog.functions import hashing as h
+from strandlog.operators import fanout, logs, security
 from strandlog.operators import governance as g
-from strandlog.operators import logs
-from strandlog.operators.fold import KeyedFold, ordered_fold
+from strandlog.operators.fold import KeyedFold, ordered_fold, with_lifecycle
 from strandlog.operators.placement import bin_count, virtual_bins
+from strandlog.plans.streams import QUERIES
 from strandlog.streaming import fold_stream
 
 S = 1_000_000
@@ -77,10 +80,85 @@ def test_flap_back_cancels(spark):
 
 def test_reserve_lets_lower_bands_through(spark):
     rows = [("q", 0, i, 0 if i < 6 else 1) for i in range(8)]
-    served = ordered_fold(spark.createDataFrame(rows, "k string, us long, seq long, band int"), ["k"], ["us", "seq"], g.rotating_reserve(2, 3)).head()["served"]
+    frame = spark.createDataFrame(rows, "k string, us long, seq long, band int")
+    served = [r["seq"] for r in g.rotating_reserve(frame, ["k"], ["us", "seq"], 2, 3).orderBy("place").collect()]
     assert sorted(served) == list(range(8)) and served[2] == 0 + 2 and 6 in served[:6]
-    drr = ordered_fold(spark.createDataFrame(rows, "k string, us long, seq long, band int"), ["k"], ["us", "seq"], g.deficit_round_robin([2, 1])).head()["served"]
+    drr = [r["seq"] for r in g.deficit_round_robin(frame, ["k"], ["us", "seq"], [2, 1]).orderBy("place").collect()]
     assert drr == list(range(8))  # each visit brings at least the one credit that it costs, so a band is served until it is empty
+    with pytest.raises(ValueError):
+        g.deficit_round_robin(frame, ["k"], ["us", "seq"], [1, 0])
+
+
+def test_source_cap_after_a_spent_token(spark):
+    """A's third escalation is rejected by its own cap, and yet has spent the token that B then lacks."""
+    rows = [("s", "a", 0, 0), ("s", "a", 0, 1), ("s", "a", 0, 2), ("s", "b", 0, 3)]
+    frame = spark.createDataFrame(rows, "v string, k string, us long, seq long")
+    admitted = lambda *knobs: [(r["admitted"], r["deadline_us"]) for r in g.escalation_guard(frame, ["v"], ["k"], ["us", "seq"], *knobs).orderBy("seq").collect()]
+    assert admitted(3.0, 1e-9, 2, S, 5) == [(True, 5), (True, 5), (False, 0), (False, 0)]
+    assert admitted(9.0, 1e-9, 2, S, 0) == [(True, 0), (True, 0), (False, 0), (True, 0)]
+
+
+def test_frames_wait_for_credit(spark):
+    rows = [("p", 0, i) for i in range(5)]
+    out = run(spark, rows, g.credit_channel(2, 10))
+    assert [(r[2], r[3], r[4]) for r in out] == [(0, 10, False), (0, 20, False), (10, 30, True), (20, 40, True), (30, 50, True)]
+
+
+def test_activations_end_by_idleness_and_fault(spark):
+    rows = [("a", 0, 0, False), ("a", 5, 1, True), ("a", 6, 2, False), ("a", 99, 3, False)]
+    count = KeyedFold(lambda: 0, lambda n, row: (n + 1, {"seq": row["seq"], "n": n + 1}), "seq long, n long")
+    fold = with_lifecycle(count, lambda n: {"flushed": n}, "flushed long", "us", 10, "fault")
+    out = run(spark, rows, fold, "k string, us long, seq long, fault boolean")
+    assert [tuple(r)[2:] for r in out] == [(1, None, 0), (2, None, 0), (1, None, 1), (1, 1, 2)]
+
+
+def test_places_over_ranges(spark):
+    """A key with most rows is numbered and summed as by one window."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 == 0, "b").when(F.col("id") == 7, None).otherwise("a").alias("k"), (F.col("id") * 7919 % 5000).alias("at"))
+    got = {(r["k"], r["at"]): r["pos"] for r in logs.placed(rows, ["k"], ["at"]).collect()}
+    assert got == {(r["k"], r["at"]): r["pos"] for r in logs.fifo_position(rows, ["k"], ["at"]).collect()}
+    sums = {(r["k"], r["at"]): r["s"] for r in logs.placed(rows, ["k"], ["at"], "s", F.col("at")).collect()}
+    assert sums == {(r["k"], r["at"]): r["total"] for r in logs.running_total(rows, ["k"], ["at"], "at").collect()}
+
+
+def test_depths_of_any_chain(spark):
+    """A chain of 300, an orphan with a child, a ring, and a second root."""
+    spans = [(i, i - 1 if i else None) for i in range(300)] + [(1000, 999), (1001, 1000), (2000, 2001), (2001, 2000), (3000, None)]
+    found = {r["span"]: r["depth"] for r in security.span_depths(spark.createDataFrame(spans, "span long, parent long")).collect()}
+    assert found == {i: i for i in range(300)} | {3000: 0}
+
+
+def test_interval_that_ends_before_it_starts(spark):
+    messages = spark.createDataFrame([("t", us, us) for us in range(6)], "topic string, us long, seq long")
+    subs = spark.createDataFrame([("t", 1, 3), ("t", 2, None), ("t", 4, 2), ("u", 0, None)], "topic string, since long, until long")
+    assert {r["seq"]: r["reached"] for r in fanout.reached_during(messages, subs).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1}
+
+
+def test_late_rows_are_dropped(spark, sf_dir):
+    counted = QUERIES["platform_stream_windows"](spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    open_ = rows.groupBy().agg({"ts": "max"}).head()[0]
+    closed = rows.filter(rows["ts"] < str(open_ - timedelta(days=2))).count()
+    assert 0 < counted.agg({"n": "sum"}).head()[0] < closed
+
+
+def test_idle_state_goes(spark, tmp_path):
+    """After the timeout a key's state is gone, so that its fold starts anew."""
+    schema, fold = "k string, us long, seq long", KeyedFold(lambda: 0, lambda n, row: (n + 1, {"seq": row["seq"], "n": n + 1}), "seq long, n long")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], ["us", "seq"], fold, idle_ms=200)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+        writer.start(str(tmp_path / "out")).awaitTermination(120)
+
+    arrive([("a", 0, 0), ("a", 1, 1)])
+    time.sleep(0.5)
+    arrive([("b", 2, 2)])  # a batch in which the idle key times out
+    arrive([("a", 3, 3)])
+    assert {r["seq"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: 1, 1: 2, 2: 1, 3: 1}
 
 
 def test_input_order_and_partitions_do_not_matter(spark):
