@@ -51,6 +51,8 @@ RATE, DECAY = 0.01, 200
 ROUNDS = (range(1), range(1, 8))
 #: Tokens that training deals to its streams at once, and numbers of a network that are averaged as one row.
 DEALT, BLOCK = 1 << 20, 4096
+#: Numbers that a step of the descent changes at once; scores below SAFE need no care before the exponential.
+STEP, SAFE = 1 << 13, 40
 LOCKSTEP, WINDOW = 1024, 32
 _LN10 = np.log(10)
 
@@ -64,7 +66,9 @@ class Vocabulary:
     total: int
     distinct: int
     ends: int
-    word: np.ndarray = field(init=False)
+    known: np.ndarray = field(init=False)
+    known_word: np.ndarray = field(init=False)
+    word_counts: np.ndarray = field(init=False)
     size: int = field(init=False)
     per_class: int = field(init=False)
     classes: int = field(init=False)
@@ -74,9 +78,9 @@ class Vocabulary:
     def __post_init__(self) -> None:
         most = max(CLASSES * PER_CLASS, int(self.total**GROWTH))
         order = np.lexsort((self.hashes, -self.counts))[:most]
-        self.word = np.full(len(self.hashes), -1, dtype=np.int64)
-        self.word[order] = np.arange(len(order))
         self.size = len(order)
+        by_hash = np.argsort(order)  # the head is sorted by hash
+        self.known, self.known_word, self.word_counts = self.hashes[order][by_hash], by_hash, self.counts[order]
         self.per_class = max(PER_CLASS, int(self.size**0.5))
         self.members = [min(self.per_class, self.size - lo) for lo in range(0, self.size, self.per_class)]
         self.classes = len(self.members)
@@ -89,26 +93,38 @@ class Vocabulary:
     def end(self) -> int:
         return self.size
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's symbol (a word, or beyond the end for rare ones) and count, -1 where the head doesn't have it."""
-        if not len(self.hashes):
-            return self.size + 1 + (hashes % np.uint64(RARE_INPUTS)).astype(np.int64), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        there = self.hashes[at] == hashes
-        word = np.where(there, self.word[at], -1)
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Each token's symbol: a word, or beyond the end for rare ones."""
         rare = self.size + 1 + (hashes % np.uint64(RARE_INPUTS)).astype(np.int64)
-        return np.where(word >= 0, word, rare), np.where(there, self.counts[at], -1)
+        if not self.size:
+            return rare
+        at = np.minimum(np.searchsorted(self.known, hashes), self.size - 1)
+        return np.where(self.known[at] == hashes, self.known_word[at], rare)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's symbol and count, -1 where the head doesn't have it."""
+        symbols, counts = self.symbols(hashes), np.full(len(hashes), -1)
+        word = symbols < self.size
+        counts[word] = self.word_counts[symbols[word]]
+        rest = np.flatnonzero(~word)
+        if len(self.hashes) and len(rest):  # most tokens are words, so few are looked for in all of the head
+            wanted = hashes[rest]
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            counts[rest] = np.where(self.hashes[at] == wanted, self.counts[at], -1)
+        return symbols, counts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _pick(x: np.ndarray, at: np.ndarray, derive: bool) -> tuple[np.ndarray, np.ndarray]:
+def _pick(x: np.ndarray, at: np.ndarray, derive: bool, safe: bool) -> tuple[np.ndarray, np.ndarray]:
     """For scores with a column for each case: the log-probability of each case's row ``at``, and, to ``derive``, the
-    derivatives of minus their sum by the scores. ``x`` is used up."""
+    derivatives of minus their sum by the scores. ``safe`` scores are small enough for the exponential as they are. ``x`` is
+    used up."""
     cases = np.arange(x.shape[1])
-    x -= x.max(axis=0)
+    if not safe:
+        x -= x.max(axis=0)
     own = x[at, cases]
     np.exp(x, out=x)
     total = x.sum(axis=0)
@@ -118,6 +134,27 @@ def _pick(x: np.ndarray, at: np.ndarray, derive: bool) -> tuple[np.ndarray, np.n
     return own - np.log(total), x
 
 
+def _descend(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, scale: float, rate: float, done: int) -> None:
+    """One step of Adam in place, a few thousand numbers after another so that they stay near the processor."""
+    p, g, m, v = (x.reshape(-1) for x in (p, g, m, v))
+    m_all, v_all = rate / (1 - 0.9**done), 1 / (1 - 0.99**done)
+    for lo in range(0, len(p), STEP):
+        own, gs, ms, vs = (x[lo : lo + STEP] for x in (p, g, m, v))
+        gs = gs * scale
+        ms *= 0.9
+        ms += 0.1 * gs
+        vs *= 0.99
+        gs *= gs
+        gs *= 0.01
+        vs += gs
+        np.multiply(vs, v_all, out=gs)
+        np.sqrt(gs, out=gs)
+        gs += 1e-8
+        np.divide(ms, gs, out=gs)
+        gs *= m_all
+        own -= gs
+
+
 class Network:
     """Symbols: words 0 .. size-1, the end, then rare inputs. Classes: those of words, the end's, the rare."""
 
@@ -153,26 +190,33 @@ class Network:
     def log_outputs(self, hs: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural-log probabilities of the targets' classes and words; with ``grad``, also d(-sum)/d(states)."""
         p, c, derive = self.p, self.class_of(targets), grad is not None
-        logs, d = _pick(p["class"].T @ hs.T + p["class_bias"][:, None], c, derive)
+        # states lie between -1 and 1, so this bounds all scores
+        safe = all(np.abs(p[k]).sum(axis=0).max(initial=0) + np.abs(p[f"{k}_bias"]).max(initial=0) < SAFE for k in ("class", "word"))
+        logs, d = _pick(p["class"].T @ hs.T + p["class_bias"][:, None], c, derive, safe)
         out = logs.astype(np.float64)
         back = np.zeros_like(hs)
         if derive:
             grad["class"], grad["class_bias"] = (d @ hs).T, d.sum(axis=1)
             grad["word"], grad["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
             back += d.T @ p["class"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[edges[k] : edges[k + 1]]
-            if not len(rows):
+        order = np.argsort(c.astype(np.int16), kind="stable")  # cases of one class lie together from here on
+        edges = np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
+        order = order[: edges[-1]]
+        own_states, own_targets = hs[order], targets[order]
+        own_out, own_back = np.empty(len(order)), np.empty_like(own_states) if derive else None
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a == b:
                 continue
             lo, hi = k * self.per_class, k * self.per_class + self.members[k]
-            own = hs[rows]
-            logs, d = _pick(p["word"][:, lo:hi].T @ own.T + p["word_bias"][lo:hi, None], targets[rows] - lo, derive)
-            out[rows] += logs
+            own, words = own_states[a:b], np.ascontiguousarray(p["word"][:, lo:hi].T)
+            logs, d = _pick(words @ own.T + p["word_bias"][lo:hi, None], own_targets[a:b] - lo, derive, safe)
+            own_out[a:b] = logs
             if derive:
                 grad["word"][:, lo:hi], grad["word_bias"][lo:hi] = (d @ own).T, d.sum(axis=1)
-                back[rows] += d.T @ p["word"][:, lo:hi].T
+                np.matmul(d.T, words, out=own_back[a:b])
+        out[order] += own_out
+        if derive:
+            back[order] += own_back
         return out, back
 
     def train(self, docs: Iterable[np.ndarray], epochs: int = 1) -> int:
@@ -259,15 +303,11 @@ class Network:
         grad["in"][kinds] = np.add.reduceat(gus[order], first, axis=0)
         grad["bias"] = gus.sum(axis=0)
         scale = np.float32(1 / (wide * steps if real is None else real.sum()))
-        norm = np.sqrt(sum(float(np.square(g).sum()) for g in grad.values())) * scale
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) * scale
         scale *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         rate = RATE * (1 - 0.9 * done / total)
         for k, g in grad.items():
-            m, v = moments[k]
-            g = g * scale
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p[k] -= (rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+            _descend(p[k], g, *moments[k], scale, rate, done)
         return h
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -376,7 +416,7 @@ def _round(rows: DataFrame, words: Vocabulary, network: Network) -> int:
         def docs() -> Iterator[np.ndarray]:
             for batch in pieces(batches):
                 hashes, at = word_hashes(texts(pa.chunked_array([batch.column("text")])), SPACED)
-                symbols, _ = v.look_up(hashes)
+                symbols = v.symbols(hashes)
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     yield np.append(symbols[a:b], v.end)
 
