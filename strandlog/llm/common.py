@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.model import cut as cut
+from strandlog.model import shared_dir as shared_dir
+from strandlog.model import work_folder as new_folder  # noqa: F401
+
 #: Bytes of text that a task works on at once.
 PIECE = 8 << 20
 U64 = np.uint64
@@ -30,31 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or, where it is unset (as in
-    tests on one machine), a new temporary folder which is then set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else Path(tempfile.mkdtemp(prefix="strandlog-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back: later jobs neither recompute it nor depend on one
-    executor's disk. Rows and their order of files stay fixed from here on."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a ``cut`` table that no later job needs."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -187,3 +163,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sampled(df: DataFrame, column: str, expected: float, rows: int, what: str = "sample") -> DataFrame:
+    """About ``expected`` of ``rows`` rows, those whose hash of ``column`` is low; all where there are no more. Every task
+    drops the others by itself, so what reaches the driver doesn't grow with the tasks."""
+    if rows <= expected:
+        return df
+    return df.filter(F.pmod(F.xxhash64(column, F.lit(what)), F.lit(1 << 30)) < int((1 << 30) * expected / rows))

@@ -5,13 +5,14 @@ distance. The two halves are quantised separately, so a cell is a pair of centro
 the sum of its two distances, taken from a heap, until the cells visited hold ``entries`` vectors, and all their entries
 are reranked by the inner product in double precision.
 
-How many entries that takes is measured, not guessed: for at most ``CALIBRATION`` queries the true neighbours are found
+How many entries that takes is measured, not guessed: for about ``CALIBRATION`` queries the true neighbours are found
 by a scan, and ``entries`` is what lets ``TARGET`` of those be met. Vectors that cluster need few; vectors without any
 structure need a large share of all, and get it.
 
 Entries lie on shelves of at most about ``SHELF`` vectors, neighbouring cells together and a larger cell on several
-shelves. A query goes to the shelves that hold cells it visits, once each; shelves that many queries visit are copied for
-each ``QUERIES`` of them. Equal vectors are one entry; each brings its smallest ids, as many as a result can hold.
+shelves. A query goes to the shelves that hold cells it visits, once each, with the summed distance of the last cell: what is
+nearer on a shelf is what it visits. Shelves that many queries visit are copied for each ``QUERIES`` of them. Codebooks are
+fitted on about ``FIT_ROWS`` rows chosen by hash; every row is indexed. Equal vectors are one entry; each brings its smallest ids, as many as a result can hold.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without an id; rows with one id count as one, with the smallest vector; ties go to the smaller id;
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import cut, shuffle_partitions, table
+from strandlog.llm.common import cut, sampled, shuffle_partitions, table
 
 K, EVERY = 20, 20
 FIT_ROWS, CENTROIDS_MAX, ROUNDS = 10_000, 256, 8
+#: Rows in a cell, on average, while there are no more centroids than CENTROIDS_MAX.
+CELL_ROWS = 64
 CALIBRATION, TARGET = 128, 0.96
-SHELF, QUERIES = 8_000, 8_000
+SHELF, QUERIES = 3_000, 8_000
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -91,8 +94,15 @@ class MultiIndex:
             if j == 0 and i + 1 < len(ra):
                 heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
 
-    def visit(self, query: np.ndarray, entries: int) -> list[int]:
-        """The cells with entries that a query visits."""
+    def sums(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The summed distance of each query to each of the cells."""
+        a, b = self.halves(queries, query=True)
+        i, j = np.divmod(cells, len(self.second))
+        return _distances(a, self.first)[:, i] + _distances(b, self.second)[:, j]
+
+    def visit(self, query: np.ndarray, entries: int) -> tuple[np.ndarray, float]:
+        """The cells with entries that a query visits, and the summed distance up to which it does (with a little room for
+        rounding, so that it may visit a cell more)."""
         found, size, counts = [], 0, self.counts
         for cell in self.walk(query):
             if counts[cell]:
@@ -100,7 +110,9 @@ class MultiIndex:
                 size += counts[cell]
                 if size >= entries:
                     break
-        return found
+        cells = np.array(found)
+        last = float(self.sums(query[None], cells[-1:])[0, 0])
+        return cells, last + 1e-9 * (abs(last) + self.norm**2)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray | pd.Series) -> np.ndarray:
@@ -137,22 +149,15 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, target: float = T
     sc = spark.sparkContext
     result = "query_id long, rank int, vec_id long, score double"
     rows = cut(usable(vectors), "vectors")
-    # equal vectors are one entry under their smallest id
-    entries = cut(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "entries")
-    facts = entries.agg(F.count("*"), F.max("times"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).head()
-    n, most, norm = facts[0], facts[1], facts[2]
+    facts = rows.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).head()
+    n, norm = facts[0], facts[1]
     if not n:
         return spark.createDataFrame([], result)
-    if most > 1:
-        rows = rows.join(entries.select("v", "rep"), "v").select("vec_id", "rep", "v")
-    else:
-        rows = rows.select("vec_id", F.col("vec_id").alias("rep"), "v")
-    asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "rep", "v")
 
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("v").toPandas()
+    sample = sampled(rows, "vec_id", FIT_ROWS, n).select("v").toPandas()
     index = MultiIndex(np.zeros((1, 1)), np.zeros((1, 1)), float(norm) * (1 + 1e-9))
-    a, b = index.halves(_matrix(sample["v"]), query=False)
-    size = int(np.clip(round((n / 16) ** 0.5), 1, CENTROIDS_MAX))
+    a, b = index.halves(np.unique(_matrix(sample["v"]), axis=0), query=False)
+    size = int(np.clip(round((n / CELL_ROWS) ** 0.5), 1, CENTROIDS_MAX))
     index.first, index.second = kmeans(a, size), kmeans(b, size, seed=1)
     sent = sc.broadcast(index)
 
@@ -160,39 +165,49 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, target: float = T
         for batch in batches:
             cells = sent.value.cell(_matrix(batch.column("v")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), pa.array(cells.astype(np.int32)), batch.column("v")], names=["rep", "cell", "v"]
+                [batch.column("rep"), batch.column("times"), pa.array(cells.astype(np.int32)), batch.column("v")],
+                names=["rep", "times", "cell", "v"],
             )
 
-    entries = cut(entries.mapInArrow(to_cells, "rep long, cell int, v array<double>"), "cells")
-    index.counts = np.zeros(index.cells, dtype=np.int64)
-    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CENTROIDS_MAX squared rows
-        index.counts[r["cell"]] = r["n"]
-    need = max(k + 1, _calibrate(entries, asked, index, k, target))  # so that k are found wherever there are k
-    shelves, parts = _shelves(index.counts)
+    # equal vectors are one entry under their smallest id
+    entries = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
+    entries = cut(entries.select("rep", "times", "v").mapInArrow(to_cells, "rep long, times long, cell int, v array<double>"), "cells")
+    index.counts, most = np.zeros(index.cells, dtype=np.int64), 1
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.max("times").alias("t")).collect():  # a row for each cell
+        index.counts[r["cell"]], most = r["n"], max(most, r["t"])
+    if most > 1:
+        copied = entries.filter("times > 1").select("v", "rep")
+        rows = rows.join(copied, "v", "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"), "v")
+    else:
+        rows = rows.select("vec_id", F.col("vec_id").alias("rep"), "v")
+    asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "rep", "v")
+    need = max(k + 1, _calibrate(entries, asked, n // every, index, k, target))  # so that k are found wherever there are k
+    shelves, parts = map(np.array, _shelves(index.counts))
     sent = sc.broadcast(index)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in batches:
-            out = []
-            vectors = batch.column("v").to_pylist()
-            for rep, v in zip(batch.column("rep").to_pylist(), vectors, strict=True):
-                goes: dict[int, list[int]] = {}
-                for cell in sent.value.visit(np.array(v), need):
-                    for s in range(shelves[cell], shelves[cell] + parts[cell]):
-                        goes.setdefault(s, []).append(cell)
-                out += [(rep, s, cells, v) for s, cells in goes.items()]
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
-                names=["rep", "shelf", "cells", "v"],
-            )
+            reps, goes, limits, at = batch.column("rep").to_numpy(), [], [], []
+            for i, v in enumerate(_matrix(batch.column("v"))):
+                cells, limit = index.visit(v, need)
+                wide = cells[parts[cells] > 1]
+                own = np.unique(np.concatenate([shelves[cells], *(np.arange(shelves[c], shelves[c] + parts[c]) for c in wide)]))
+                goes.append(own)
+                limits.append(np.full(len(own), limit))
+                at.append(np.full(len(own), i))
+            if goes:
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(reps[at]), pa.array(np.concatenate(goes).astype(np.int32)), pa.array(np.concatenate(limits)), batch.column("v").take(pa.array(at))],
+                    names=["rep", "shelf", "limit", "v"],
+                )
 
     routed = cut(
         asked.dropDuplicates(["rep"])
         .select("rep", "v")
         .repartition(shuffle_partitions(spark))
-        .mapInArrow(route, "rep long, shelf int, cells array<int>, v array<double>"),
+        .mapInArrow(route, "rep long, shelf int, limit double, v array<double>"),
         "routes",
     )
     copies = {
@@ -219,16 +234,19 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, target: float = T
     def rerank(key: tuple, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
             return pd.DataFrame({"rep": [], "found": [], "scores": []})
-        ids, cells = held["entry"].to_numpy(np.int64), held["cell"].to_numpy(np.int64)
-        e = _matrix(held["e"])
-        kinds, of = np.unique(cells, return_inverse=True)
+        held = held.sort_values(["cell", "entry"])
+        ids, e = held["entry"].to_numpy(np.int64), _matrix(held["e"])
+        kinds, of = np.unique(held["cell"].to_numpy(np.int64), return_inverse=True)
         out = []
         for lo in range(0, len(queries), 256):
             block = queries.iloc[lo : lo + 256]
-            scores = _matrix(block["v"]) @ e.T
-            for row, rep, visited in zip(scores, block["rep"], block["cells"], strict=True):
-                at = np.flatnonzero(np.isin(kinds, visited)[of])
-                at = at[_top(row[at], ids[at], k + 1)]
+            q = _matrix(block["v"])
+            far = sent.value.sums(q, kinds) > block["limit"].to_numpy()[:, None]
+            scores = q @ e.T
+            scores[far[:, of]] = -np.inf  # entries of cells that the query doesn't visit
+            for row, rep in zip(scores, block["rep"], strict=True):
+                at = _top(row, ids, k + 1)
+                at = at[row[at] > -np.inf]
                 out.append((rep, ids[at].tolist(), row[at].tolist()))
         return pd.DataFrame(out, columns=["rep", "found", "scores"])
 
@@ -254,9 +272,9 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, target: float = T
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrate(entries: DataFrame, asked: DataFrame, index: MultiIndex, k: int, target: float) -> int:
+def _calibrate(entries: DataFrame, asked: DataFrame, expected: int, index: MultiIndex, k: int, target: float) -> int:
     """Entries to visit so that ``target`` of the sample queries' true neighbours lie in the cells visited."""
-    sample = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).toPandas()
+    sample = sampled(asked, "query_id", CALIBRATION, expected).toPandas()
     if not len(sample):
         return 1
     queries, reps = _matrix(sample["v"]), sample["rep"].to_numpy(np.int64)
