@@ -1,16 +1,21 @@
 """Secret scan: patterns find candidates, a random forest removes the false ones.
 
-Candidates are keys of known form, values assigned to telling names (quoted or not), passwords in URLs, and long runs
-that mix letters and digits. The
-forest's features are the candidate's length, its character transitions (changes between kinds of character, and the
-mean log-probability of its letter pairs in ordinary identifiers), its coverage by dictionary words, its path (the
-row's ``source``) and the words beside it. It is trained from labelled findings: rows of (text, start, end, path,
-secret), by default the rule-made ones of ``labelled_findings``, since no table of the corpus labels findings.
+Candidates are keys of known form (private keys in PEM blocks and web tokens as a whole), values assigned to telling names
+(quoted or not), passwords in URLs, and long runs that mix letters and digits. The forest's features are the candidate's
+length, its character transitions (changes between kinds of character, and the mean log-probability of its letter pairs in
+ordinary words), its coverage by dictionary words, its path (the row's ``source``) and the words beside it. The dictionary
+and the letter pairs are the corpus's own: its ``MOST_WORDS`` most frequent words, counted over all rows, beside some of
+ordinary identifiers.
+
+It is trained from labelled findings: rows of (text, start, end, path, secret), by default the rule-made ones of
+``labelled_findings``, since no table of the corpus labels findings.
 
 Edge cases: null and empty texts have no findings; a null source is an empty path; repeated rows have findings of their
-own; overlapping candidates count once, known forms before assignments before runs; without findings to learn from all
-candidates are kept; other columns pass through ``redact`` untouched, and ``n_chars``, where there is one, follows the
-text.
+own; overlapping candidates count once, known forms before assignments before runs; candidates are found in whole texts,
+however long, and judged by their neighbourhood, so a long text's are those of its parts; without findings to learn from
+all candidates are kept, with score 1, and findings of one kind alone give that kind; an empty table has the built-in
+dictionary and gives no rows; other columns pass through ``redact`` untouched, and ``n_chars``, where there is one,
+follows the text.
 """
 
 from __future__ import annotations
@@ -28,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import arrow_map, table
+from strandlog.llm.common import arrow_map, cut, table
 
 KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}"
-    r"|xox[baprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"
+    r"|xox[baprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])"
+    r"|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=:,.\s\\-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
 )
 #: A known form holds one of these.
-PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "xox", "AIza")
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "xox", "AIza", "eyJ", "PRIVATE KEY-----")
 ASSIGNED = re.compile(
     r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
     r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{6,})"
@@ -64,7 +70,8 @@ PATHS = re.compile(r"(?i)test|example|sample|doc|fixture|mock|demo|spec")
 MARK = "[SECRET]"
 CUT = 0.5
 TREES, DEPTH, FINDINGS = 40, 10, 3000
-_LONGEST = max(map(len, DICTIONARY))
+#: Words of the corpus in the dictionary, at most, and their lengths.
+MOST_WORDS, SHORTEST_WORD, LONGEST_WORD = 20_000, 4, 16
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -110,12 +117,12 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def _coverage(value: str) -> float:
+def _coverage(value: str, words: frozenset[str]) -> float:
     """Share of the characters inside dictionary words of at least four letters, longest first."""
     low, at, covered = value.lower(), 0, 0
     while at < len(low):
-        for size in range(min(_LONGEST, len(low) - at), 3, -1):
-            if low[at : at + size] in DICTIONARY:
+        for size in range(min(LONGEST_WORD, len(low) - at), SHORTEST_WORD - 1, -1):
+            if low[at : at + size] in words:
                 covered, at = covered + size, at + size
                 break
         else:
@@ -123,22 +130,44 @@ def _coverage(value: str) -> float:
     return covered / max(1, len(low))
 
 
-class Pairs:
-    """Smoothed log-probabilities of the second of two characters in ordinary identifiers and words."""
+class Language:
+    """The dictionary, and smoothed log-probabilities of the second of two characters in its words."""
 
-    def __init__(self, values: list[str]):
-        self.pairs = Counter(p for v in values for p in zip(v.lower(), v.lower()[1:], strict=False))
-        self.firsts = Counter(c for v in values for c in v.lower()[:-1])
+    def __init__(self, counts: dict[str, int]):
+        self.words = frozenset(counts) | DICTIONARY
+        self.pairs, self.firsts = Counter(), Counter()
+        for word in sorted(self.words):
+            n = math.log2(counts.get(word, 1) + 1)  # a word's weight grows slowly with its count
+            for p in zip(word, word[1:], strict=False):
+                self.pairs[p] += n
+                self.firsts[p[0]] += n
 
     def mean(self, value: str) -> float:
         low = value.lower()
-        logs = [
-            math.log((self.pairs[p] + 0.5) / (self.firsts[p[0]] + 20)) for p in zip(low, low[1:], strict=False)
-        ]
+        logs = [math.log((self.pairs[p] + 0.5) / (self.firsts[p[0]] + 20)) for p in zip(low, low[1:], strict=False)]
         return sum(logs) / max(1, len(logs))
 
 
-def features(text: str, start: int, end: int, kind: str, path: str, pairs: Pairs) -> list[float]:
+def language(docs: DataFrame | None, most: int = MOST_WORDS) -> Language:
+    """The most frequent words of all rows, down to the count at which there would be more than ``most``."""
+    if docs is None:
+        return Language({})
+    words = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(f"([a-z]{{{SHORTEST_WORD},}})"), F.lit(1))
+    counts = docs.select(F.explode(words).alias("w")).filter(F.length("w") <= LONGEST_WORD).groupBy("w").agg(F.count("*").alias("c"))
+    counts = cut(counts.filter("c > 1"), "words")
+    groups = counts.groupBy(F.floor(F.log2("c") * 16).alias("g")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    least, size = None, 0
+    for r in sorted(groups, key=lambda r: -r["g"]):  # some hundreds at most
+        size += r["n"]
+        if size > most:
+            break
+        least = r["least"]
+    if least is None:
+        return Language({})
+    return Language({r["w"]: r["c"] for r in counts.filter(F.col("c") >= least).collect()})
+
+
+def features(text: str, start: int, end: int, kind: str, path: str, known: Language) -> list[float]:
     value = text[start:end]
     kinds = [_kind(c) for c in value]
     n = max(1, len(value))
@@ -149,12 +178,12 @@ def features(text: str, start: int, end: int, kind: str, path: str, pairs: Pairs
     return [
         math.log(n),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        pairs.mean(value),
+        known.mean(value),
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         kinds.count(2) / n,
         kinds.count(1) / n,
         kinds.count(3) / n,
-        _coverage(value),
+        _coverage(value, known.words),
         float(len(counts)) / n,
         float(bool(PATHS.search(path))),
         float(sum(w in TELLING for w in before)),
@@ -243,7 +272,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, int,
     plain = ("commit", "sha1", "sha256", "md5", "checksum", "revision", "etag", "digest", "build", "ref")
 
     def secret() -> tuple[str, str, str]:
-        how = int(rng.integers(10))
+        how = int(rng.integers(12))
+        if how == 10:
+            part = lambda: chars(mixed + "_-", int(rng.integers(16, 60)))
+            return pick(("", "token: ", "Authorization: Bearer ", "session=")), f"eyJ{part()}.{part()}.{part()}", ""
+        if how == 11:
+            kind = pick(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+            lines = "\n".join(chars(mixed + "+/", 64) for _ in range(int(rng.integers(2, 9))))
+            return pick(("", "key:\n")), f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----", ""
         if how == 0:
             return pick(("", "key ", "aws_access_key_id=", some() + " ")), pick(("AKIA", "ASIA")) + chars(upper, 16), ""
         if how == 1:
@@ -293,33 +329,50 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, int,
         real = k % 2 == 0
         before, value, after = secret() if real else other()
         head = some() + " " + before
-        path = f"src{pick('0123456789')}" if rng.random() < (0.95 if real else 0.7) else pick(("test/a", "docs/example", "spec/mock"))
+        path = pick((f"src{pick('0123456789')}", filler(), "")) if rng.random() < (0.95 if real else 0.7) else pick(("test/a", "docs/example", "spec/mock"))
         found.append((f"{head}{value}{after} {some()}", len(head), len(head) + len(value), path, real))
     return found
 
 
-@functools.lru_cache(maxsize=4)
-def default_model() -> tuple[Forest, Pairs]:
-    return train(labelled_findings())
+class Keep:
+    """What stands for the forest where there is nothing to learn from: every candidate is a finding."""
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.ones(len(x))
+
+
+Model = tuple[Forest | Keep, Language]
 
 
-def train(findings: list[tuple[str, int, int, str, bool]]) -> tuple[Forest, Pairs]:
+def train(findings: list[tuple[str, int, int, str, bool]], known: Language | None = None) -> Model:
     """A forest from labelled findings; each must be a candidate's place in its text."""
-    pairs = Pairs([t[a:b] for t, a, b, _, real in findings if not real] + sorted(DICTIONARY))
+    known = known or Language({})
+    if not findings:
+        return Keep(), known
     rows = []
     for text, start, end, path, _ in findings:
         kind = next((k for a, b, k in candidates(text) if a <= start < b), "run")
-        rows.append(features(text, start, end, kind, path, pairs))
-    return Forest(np.array(rows), np.array([real for *_, real in findings], dtype=float)), pairs
+        rows.append(features(text, start, end, kind, path, known))
+    return Forest(np.array(rows), np.array([real for *_, real in findings], dtype=float)), known
+
+
+@functools.lru_cache(maxsize=1)
+def _labelled() -> list[tuple[str, int, int, str, bool]]:
+    return labelled_findings()
+
+
+def default_model(docs: DataFrame | None = None) -> Model:
+    """The forest of the rule-made findings, with the documents' own dictionary."""
+    return train(_labelled(), language(docs))
 
 
-def findings(texts: list[str], paths: list[str], model: tuple[Forest, Pairs]) -> list[list[tuple[int, int, str, float]]]:
+def findings(texts: list[str], paths: list[str], model: Model) -> list[list[tuple[int, int, str, float]]]:
     """(start, end, kind, score) of every candidate of each text."""
-    forest, pairs = model
+    forest, known = model
     places = [(i, *c) for i, t in enumerate(texts) for c in candidates(t)]
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     if places:
-        scores = forest.score(np.array([features(texts[i], a, b, k, paths[i], pairs) for i, a, b, k in places]))
+        scores = forest.score(np.array([features(texts[i], a, b, k, paths[i], known) for i, a, b, k in places]))
         for (i, a, b, k), s in zip(places, scores.tolist(), strict=True):
             out[i].append((a, b, k, s))
     return out
@@ -330,9 +383,9 @@ def _read(t: pa.Table) -> tuple[list[str], list[str]]:
     return [x or "" for x in t["text"].to_pylist()], [str(x or "") for x in paths]
 
 
-def scan(docs: DataFrame, model: tuple[Forest, Pairs] | None = None) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row for each candidate: doc_id, start and length in characters, kind, value_crc32, score, is_secret."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    sent = docs.sparkSession.sparkContext.broadcast(model or default_model(docs))
 
     def make():
         def step(t: pa.Table) -> pa.Table | None:
@@ -354,9 +407,9 @@ def scan(docs: DataFrame, model: tuple[Forest, Pairs] | None = None) -> DataFram
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("source")), make, schema)
 
 
-def redact(docs: DataFrame, model: tuple[Forest, Pairs] | None = None) -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All rows and columns, with a mark in place of each secret."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    sent = docs.sparkSession.sparkContext.broadcast(model or default_model(docs))
 
     def make():
         def step(t: pa.Table) -> pa.Table:

@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import canonical, tables
+from findings import FINDINGS
 from pyspark.sql import functions as F
 
 from strandlog.llm import common, decontamination, near_duplicates, packing, secrets, sharding
@@ -260,15 +262,74 @@ def test_spans_of_the_original():
 
 
 def test_forest_removes_false_positives():
-    forest, pairs = secrets.default_model()
+    forest, known = secrets.default_model()
     held = secrets.labelled_findings(600, seed=77)
-    scores = forest.score(np.array([secrets.features(t, a, b, next((k for x, y, k in secrets.candidates(t) if x <= a < y), "run"), p, pairs) for t, a, b, p, _ in held]))
+    scores = forest.score(np.array([secrets.features(t, a, b, next((k for x, y, k in secrets.candidates(t) if x <= a < y), "run"), p, known) for t, a, b, p, _ in held]))
     truth = np.array([x[4] for x in held])
     assert ((scores >= secrets.CUT) == truth).mean() > 0.97
     shuffled = np.random.default_rng(0).permutation(truth)  # a forest of random labels must fail
     assert ((scores >= secrets.CUT) == shuffled).mean() < 0.7
 
 
+def test_findings_labelled_by_hand():
+    texts = [t for t, _ in FINDINGS]
+    found = secrets.findings(texts, [""] * len(texts), secrets.default_model())
+    have = [{t[a:b] for a, b, _, s in own if s >= secrets.CUT} for t, own in zip(texts, found, strict=True)]
+    right = sum(len(h & set(w)) for h, (_, w) in zip(have, FINDINGS, strict=True))
+    assert right / sum(map(len, have)) >= 0.9 and right / sum(len(w) for _, w in FINDINGS) >= 0.9
+    # without the forest precision is far lower
+    assert right / sum(len(own) for own in found) < 0.8
+
+
+def test_nothing_to_learn_from_keeps_every_candidate(spark):
+    key = "AKIA" + "Q7ZP" * 4
+    docs = spark.createDataFrame([(1, f"then {key} and"), (2, "password: changeme"), (3, "plain")], "doc_id long, text string")
+    model = secrets.train([])
+    assert {(r["doc_id"], r["score"], r["is_secret"]) for r in secrets.scan(docs, model).collect()} == {(1, 1.0, True), (2, 1.0, True)}
+    assert {r["text"] for r in secrets.redact(docs, model).collect()} == {"then [SECRET] and", "password: [SECRET]", "plain"}
+
+
+def test_scan_matches_brute_force(spark, sf_dir, tmp_path):
+    """The registered query against a plain program: words counted, candidates looked for and trees walked one by one."""
+    more = [(10_000 + i, t, "docs/a" if i % 3 else "src1") for i, (t, _) in enumerate(FINDINGS)]
+    docs = pd.concat([common.table(spark, sf_dir, "documents").toPandas(), pd.DataFrame(more, columns=["doc_id", "text", "source"])])
+    docs.to_parquet(tmp_path / "documents.parquet", index=False)
+    counts = Counter(w for t in docs["text"].dropna() for w in re.findall("[a-z]{4,}", t.lower()) if len(w) <= secrets.LONGEST_WORD)
+    forest, known = secrets.train(secrets.labelled_findings(), secrets.Language({w: n for w, n in counts.items() if n > 1}))
+
+    def walk(tree, x):
+        feature, cut, left, right, value = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= cut[at] else right[at]
+        return value[at]
+
+    expected = []
+    for doc_id, text, source in docs[["doc_id", "text", "source"]].itertuples(index=False):
+        spans = []
+        for kind, pattern, group in (("known", secrets.KNOWN, 0), ("assigned", secrets.URL, 1), ("assigned", secrets.ASSIGNED, 1), ("run", secrets.RUN, 0)):
+            for m in pattern.finditer(text or ""):
+                value = m.group(group)
+                if kind == "run" and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+                    continue
+                if all(m.end(group) <= a or m.start(group) >= b for a, b, _ in spans):
+                    spans.append((*m.span(group), kind))
+        for a, b, kind in spans:
+            x = secrets.features(text, a, b, kind, source or "", known)
+            score = sum(walk(t, x) for t in forest.trees) / len(forest.trees)
+            expected.append((doc_id, a, b - a, kind, zlib.crc32(text[a:b].encode()), round(score, 9), score >= secrets.CUT))
+    got = [(*r[:5], round(r["score"], 9), r["is_secret"]) for r in secrets.query(spark, tmp_path.as_uri()).collect()]
+    assert sorted(got) == sorted(expected) and len(got) >= len(FINDINGS) / 2
+
+
+def test_dictionary_is_the_corpus_own(spark):
+    docs = spark.createDataFrame([(1, "Zwetschge zwetschge kuchen kuchen"), (2, None), (3, "kuchen oven")], "doc_id long, text string")
+    known = secrets.language(docs)
+    assert {"zwetschge", "kuchen"} == known.words - secrets.DICTIONARY  # a word that occurs once may be anything
+    assert secrets.language(docs, most=1).words - secrets.DICTIONARY == {"kuchen"}
+    assert secrets._coverage("kuchenX9", known.words) == 0.75 and secrets._coverage("kuchenX9", secrets.DICTIONARY) == 0
+
+
 def test_redaction(odd, none):
     out = {(r["doc_id"], r["text"]): r for r in secrets.redact(odd).collect()}
     row = out[21, "password=[SECRET] then"]
