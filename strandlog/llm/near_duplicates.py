@@ -10,8 +10,11 @@ cheaply, and shortens them until a pair at the threshold shares a prefix in some
 
 All matches are verified on the texts themselves. Equal texts are one vertex throughout, found by digest. Components
 come from alternating large and small stars, each step cut in the shared folder. Links are then counted within
-components, where all links lie: small components share a task, large ones are compared in blocks of ``BLOCK``
-against each other as matrix products, so that pairs of a large group are counted but never made rows.
+components, where all links lie: small components share a task, large ones are compared in blocks against each other as
+matrix products, so that pairs of a large group are counted but never made rows. A block has about ``BLOCK`` texts or
+``BLOCK_SHINGLES`` shingles, whichever are fewer, so that groups of long texts need no more memory than others. A text
+that is compared with very many others is copied for each ``RAYS`` of them. The tables between the steps are deleted once
+the result is written.
 
 Results: one row for each row of the table with the class (its smallest doc_id) and the number of other rows whose text
 is equal or at least ``THRESHOLD`` similar. Edge cases: words are runs of letters, digits and non-ASCII characters, A-Z
@@ -30,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import MASK, cut, mix, table, texts, word_hashes
+from strandlog.llm.common import MASK, Cuts, mix, table, texts, word_hashes
+from strandlog.llm.common import cut as write_cut
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, LONGEST, TARGET = 32, 8, 0.9999
 #: Nodes up to this size give all their pairs.
 SMALL_NODE = 32
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Comparisons with one text that one task makes, about.
+RAYS = 4096
 #: Bytes of text whose shingles are held at once.
 PIECE = 2 << 20
 _BYTES = 2
@@ -115,19 +121,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, labels, lo = texts(pa.chunked_array([batch.column("text")])), [], 0
+            raw, labels, sizes, lo = texts(pa.chunked_array([batch.column("text")])), [], [], 0
             while lo < len(raw):  # some megabytes of text at once, whatever the batch holds
                 size, hi = 0, lo
                 while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= PIECE):
                     size, hi = size + len(raw[hi]), hi + 1
-                labels += signatures(*shingle_sets(raw[lo:hi]))
+                sets, at = shingle_sets(raw[lo:hi])
+                labels += signatures(sets, at)
+                sizes += np.diff(at).tolist()
                 lo = hi
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(labels, pa.binary())],
-                names=["doc_id", "key", "labels"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["doc_id", "key", "labels", "shingles"],
             )
 
-    return cut(_keyed(docs).mapInArrow(run, "doc_id long, key binary, labels binary"), "labels")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key binary, labels binary, shingles long")
 
 
 def _nodes(vertices: DataFrame, prefix: int) -> DataFrame:
@@ -145,9 +153,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose texts are similar."""
+    """The (a, b) pairs whose texts are similar. The first of a pair may be in very many, so its text is salted."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / RAYS).cast("int").alias("salts")).filter("salts > 1")
+    some = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(salts, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), some).cast("int")).select("a", "b", "salt")
+    first = held.select(F.col("rid").alias("a"), F.col("text").alias("ta")).join(salts, "a", "left")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).select("a", "salt", "ta")
     rows = (
-        pairs.join(held.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
+        dealt.join(first, ["a", "salt"])
         .join(held.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
     )
@@ -172,7 +185,7 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, cut: Cuts) -> DataFrame:
     """(rid, comp) of all vertices with an edge; comp is the component's least vertex."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
@@ -236,10 +249,11 @@ def _links(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _count_blocks(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """(rid, links): copies behind the similar texts of the same component. rows: rid, comp, size, copies."""
-    total = rows.count()
-    bins = max(1, -(-total // (BLOCK // 2)))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    """(rid, links): copies behind the similar texts of the same component. rows: rid, comp, size, weight (the component's
+    shingles), shingles, copies."""
+    total, shingles = rows.agg(F.count("*"), F.sum("shingles")).head()
+    bins = max(1, -(-total // (BLOCK // 2)), -(-(shingles or 0) // (BLOCK_SHINGLES // 2)))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
@@ -272,9 +286,10 @@ def _count_blocks(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _join_blocks(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all similar members, of different components, of each node. rows: node, rid, comp, n."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    """Edges (a, b) that connect all similar members, of different components, of each node. rows: node, rid, comp, n, shingles."""
+    weights = rows.groupBy("node").agg(F.sum("shingles").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    placed = rows.join(weights, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("node", "rid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -295,10 +310,20 @@ def _with_components(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class_id, n_links, stays) of every row, from tables in the shared folder; see the module's text."""
-    signed = _signed(docs)
+    """(doc_id, key, class_id, n_links, stays) of every row, from a table in the shared folder; see the module's text."""
+    cut = Cuts(docs.sparkSession)
+    try:
+        return write_cut(_classes(docs, cut), "classes")
+    finally:
+        cut.drop()
+
+
+def _classes(docs: DataFrame, cut: Cuts) -> DataFrame:
+    signed = cut(_signed(docs), "labels")
     copies = signed.filter("key is not null").groupBy("key")
-    vertices = copies.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    vertices = copies.agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("shingles").alias("shingles")
+    )
     vertices = cut(vertices.withColumn("rid", F.monotonically_increasing_id()), "vertices")
     worded = vertices.filter("labels is not null")
     last = shortest_prefix()
@@ -306,7 +331,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     nodes = cut(nodes.join(shared, "node"), "nodes")  # texts that share no node at the shortest prefix have no match
     alike = nodes.select("rid").distinct()
-    wanted = worded.join(alike, "rid").select("rid", F.col("rep").alias("doc_id"), F.col("key").alias("own"), "labels", "copies")
+    wanted = worded.join(alike, "rid").select("rid", F.col("rep").alias("doc_id"), F.col("key").alias("own"), "labels", "copies", "shingles")
     wanted = cut(wanted, "wanted")
     full = _keyed(docs).filter("key is not null")
     held = (
@@ -323,7 +348,7 @@ def classes(docs: DataFrame) -> DataFrame:
     centres = deep.groupBy("node").agg(F.min("rid").alias("a"), F.count("*").alias("n")).filter("n > 1")
     stars = deep.join(centres, "node").filter("rid <> a").select("a", F.col("rid").alias("b")).distinct()
     edges = cut(_verified(stars, held), "matches")
-    members = cut(components(edges), "components")
+    members = cut(components(edges, cut), "components")
 
     # the shortest prefixes, where several components meet
     def open_nodes(members: DataFrame) -> DataFrame:
@@ -346,14 +371,16 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = pairs.distinct()
     known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = cut(edges.union(_verified(pairs.join(known, ["a", "b"], "left_anti"), held)), "matches")
-    members = cut(components(edges), "components")
+    members = cut(components(edges, cut), "components")
     if not large.isEmpty():
         rest = open_nodes(members).filter(F.col("n") > SMALL_NODE).select("node", "rid", "comp", "n")
+        rest = cut(rest.join(wanted.select("rid", "shingles"), "rid"), "open")
         edges = cut(edges.union(_join_blocks(rest, held)), "matches")
-        members = cut(components(edges), "components")
+        members = cut(components(edges, cut), "components")
 
-    grouped = members.groupBy("comp").agg(F.count("*").alias("size"))
-    rows = members.join(grouped, "comp").join(wanted.select("rid", "copies"), "rid")
+    rows = members.join(wanted.select("rid", "copies", "shingles"), "rid")
+    grouped = rows.groupBy("comp").agg(F.count("*").alias("size"), F.sum("shingles").alias("weight"))
+    rows = rows.join(grouped, "comp")
     links = _count_blocks(cut(rows, "members"), held)
     named = vertices.select("rid", "key", "rep", "copies").join(members, "rid", "left")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("key"))).alias("first")
@@ -370,17 +397,12 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     result = signed.select("doc_id", "key").join(named, F.col("key") == F.col("k"), "left")
     grouped = F.col("k").isNotNull()
-    return cut(
-        result.select(
-            "doc_id",
-            "key",
-            F.when(grouped, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
-            F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-            F.when(grouped, (F.col("key") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("class")))
-            .otherwise(True)
-            .alias("stays"),
-        ),
-        "classes",
+    return result.select(
+        "doc_id",
+        "key",
+        F.when(grouped, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(grouped, (F.col("key") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("class"))).otherwise(True).alias("stays"),
     )
 
 
@@ -404,4 +426,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY = {"op5_lsh_forest_ngram_join": query}
-ORACLE: dict[str, str] = {}
+#: All pairs of distinct texts that share a shingle, and the closure of those that are similar.
+ORACLE = {
+    "op5_lsh_forest_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT md5(text) AS id, min(doc_id) AS rep, count(*) AS copies, any_value(text) AS text FROM documents WHERE text <> '' GROUP BY text),
+w AS (SELECT id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+s AS (SELECT DISTINCT id, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT id, id AS other FROM d UNION SELECT walk.id, sides.b FROM walk JOIN sides ON walk.other = sides.a),
+c AS (SELECT walk.id, min(rep) AS class_id FROM walk JOIN d ON d.id = other GROUP BY walk.id),
+l AS (SELECT a AS id, CAST(sum(copies) AS BIGINT) AS links FROM sides JOIN d ON d.id = b GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copies - 1, 0) + coalesce(links, 0) AS n_links
+FROM documents LEFT JOIN d ON documents.text = d.text LEFT JOIN c ON c.id = d.id LEFT JOIN l ON l.id = d.id"""
+}
