@@ -1,12 +1,14 @@
 """Packing along a space-filling curve.
 
 A document's hashed word counts are projected to three dimensions, whose cell on a Hilbert curve is its key; copies of
-a text share a cell and are told apart by the hash of their id, so that a large group spreads over many ranges. Rows
+a text share a cell and are told apart by the hash of their id, and rows of one id by their number within a batch, so that
+a large group spreads over many ranges. Rows
 are dealt into ranges of that key and sorted, and the token stream along the whole curve is cut every ``LENGTH`` tokens:
 neighbours share sequences, every sequence but the last is full, and every id lies in exactly one piece.
 
 Ids come from a table written once; the ranges' limits are approximate quantiles of the key and their first positions
-are prefix sums of one number each, all that the driver sees.
+are prefix sums of one number each, all that the driver sees. There are at most ``MAX_RANGES``; a range is sorted and cut
+as a stream, so that beyond so many they may hold any number of tokens.
 
 Edge cases: a null text counts as empty and has the closing id alone; equal keys are ordered by id, length and ids, so
 repeated rows are interchangeable; an empty table has no piece; other columns are not read.
@@ -26,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import cut, mix, shuffle_partitions, table, texts, word_hashes
+from strandlog.llm.common import MASK, cut, mix, pieces, shuffle_partitions, table, texts, word_hashes
 
 LENGTH = 4096
 CLOSING = 2
 DIMS, BITS = 3, 13
 FEATURES = 512
 #: Tokens in one range of the curve, at most about so many.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS, MAX_RANGES = 4_000_000, 10_000
 MAX_CACHED = 300_000
 _PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -150,16 +152,25 @@ def curve_keys(docs: list[bytes], seed: int = 0) -> np.ndarray:
     return hilbert(cells)
 
 
+def _occurrence(ids: np.ndarray) -> np.ndarray:
+    """How many times each id came before; 0 for most."""
+    order = np.argsort(ids, kind="stable")
+    first = np.searchsorted(ids[order], ids[order])
+    out = np.empty(len(ids), dtype=np.uint64)
+    out[order] = np.arange(len(ids)) - first
+    return out
+
+
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, curve, n, ids) of every row, from a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = encoder(path), np.array([CLOSING], "<u2").tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             raw = texts(pa.chunked_array([batch.column("text")]))
             ids = [encode(r.decode()) + closing for r in raw]
             number = np.array([x or 0 for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
-            spread = mix(number.view(np.uint64)) >> np.uint64(40)
+            spread = mix(number.view(np.uint64) + _occurrence(number) * np.uint64(MASK // 3)) >> np.uint64(40)
             curve = (curve_keys(raw) << np.uint64(24) | spread).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -180,7 +191,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     spark = docs.sparkSession
     rows = tokenised(docs, path or default_tokenizer())
     tokens = rows.agg(F.sum("n")).head()[0] or 0
-    ranges = max(1, shuffle_partitions(spark), -(-tokens // RANGE_TOKENS))
+    ranges = max(1, shuffle_partitions(spark), min(MAX_RANGES, -(-tokens // RANGE_TOKENS)))
     shares = [k / ranges for k in range(1, ranges)]
     # a document counts once for each sequence that it fills, so that ranges hold about equally many tokens
     weighted = rows.select("curve", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / length))))
