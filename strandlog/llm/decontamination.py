@@ -7,7 +7,8 @@ word inside an occurrence and keeps the words' byte offsets, so that hits can be
 
 The automaton goes to every task, so its windows are counted first. Up to ``MAX_WINDOWS`` it is one automaton;
 beyond, the items are dealt into as many automata as needed, which the documents pass one after another, each time
-from a table in the shared folder.
+from a table in the shared folder. Each is built when its turn has come and given up before the next, so the driver holds
+one at a time, whatever the benchmark's size.
 
 Edge cases: a null or empty text has no words, no hits and no items; a null item text has no window; items with a null
 id hit words but are listed as the empty string; repeated items count once; an empty benchmark hits nothing; other
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -104,16 +106,15 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WINDOWS) -> list[Automaton]:
-    """One automaton if the benchmark's words, counted before anything is collected, allow it; else several."""
+def automata(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_WINDOWS) -> tuple[int, Callable[[int], Automaton]]:
+    """How many automata there are, about ``most`` windows in each, and what builds one of them. Windows are counted before
+    anything is collected; an item is never split, so a single one of more windows is an automaton of its own."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).head()[0] or 0  # words have a byte and a separator at least
-    parts = max(1, -(-int(size) // (4 * most)))
+    words = F.size(F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)))
+    windows = F.when(words > 0, F.greatest(words - (window - 1), F.lit(1)))
+    parts = max(1, -(-int(items.agg(F.sum(windows)).head()[0] or 0) // most))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [
-        Automaton([tuple(r) for r in (items if parts == 1 else items.filter(part == p)).toLocalIterator()], window)
-        for p in range(parts)
-    ]
+    return parts, lambda p: Automaton([tuple(r) for r in (items if parts == 1 else items.filter(part == p)).toLocalIterator()], window)
 
 
 def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema: T.StructType, finish) -> DataFrame:
@@ -125,11 +126,11 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema:
         names = [f"_{n}" for n in names]
     kinds = (T.LongType(), T.BinaryType(), T.ArrayType(T.StringType()))
     marks = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
-    every, rows = automata(benchmark, window, most), docs
-    for k, automaton in enumerate(every):
-        sent = sc.broadcast(automaton)
+    (parts, build), rows = automata(benchmark, window, most), docs
+    for k in range(parts):
+        sent = sc.broadcast(build(k))
 
-        def make(sent=sent, first=k == 0, last=k + 1 == len(every)):
+        def make(sent=sent, first=k == 0, last=k + 1 == parts):
             def step(t: pa.Table) -> pa.Table:
                 one, sizes, insides, items = sent.value, [], [], []
                 raw = texts(t["text"])
@@ -157,9 +158,10 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema:
 
             return step
 
-        if k + 1 == len(every):
+        if k + 1 == parts:
             return arrow_map(rows, make, schema)
         rows = cut(arrow_map(rows, make, T.StructType([*docs.schema.fields, *marks])), "decontamination")
+        sent.unpersist()
     raise AssertionError
 
 
