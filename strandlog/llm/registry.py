@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
+
+from strandlog.llm import pipeline
 
 MODULES = (
     "near_duplicates",
@@ -27,13 +28,8 @@ def _collect(what: str) -> dict:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return _collect("QUERY") | {"pipeline": corpus_pipeline.run}
+    return _collect("QUERY") | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return _collect("ORACLE") | own
+    return _collect("ORACLE") | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -189,6 +190,38 @@ def test_large_groups_are_linked_in_blocks(spark, monkeypatch):
     assert got == sorted(brute_links(rows))
 
 
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Long near copies in many small blocks, and a centre in many salted pairs, give the same links."""
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in rng.integers(0, 10_000, 400)]
+    rows = []
+    for k in range(40):
+        own = list(base)
+        for at in rng.choice(400, k % 9, replace=False):
+            own[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {(r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates.classes(docs).collect()}
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 1500)
+    monkeypatch.setattr(near_duplicates, "RAYS", 3)
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates.classes(docs).collect()} == expected
+    assert max(n for *_, n in expected) > 20
+
+
+def test_links_match_sql(spark, sf_dir):
+    got = near_duplicates.query(spark, sf_dir).toPandas()
+    assert canonical(got) == canonical(tables(sf_dir).sql(near_duplicates.ORACLE["op5_lsh_forest_ngram_join"]).df())
+
+
+def test_steps_leave_one_table(spark):
+    """All but the result is deleted."""
+    docs = spark.createDataFrame([(1, BASE), (2, BASE + " more"), (3, "else")], "doc_id long, text string")
+    before = set(Path(common.local_path(common.shared_dir(spark))).glob("*"))
+    assert near_duplicates.classes(docs).count() == 3
+    left = {p.name.split("-")[0] for p in set(Path(common.local_path(common.shared_dir(spark))).glob("*")) - before}
+    assert left == {"classes"}
+
+
 def test_one_of_each_class_stays(odd, none):
     kept = near_duplicates.keep_first(odd)
     assert kept.columns == odd.columns
