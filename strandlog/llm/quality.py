@@ -9,7 +9,8 @@ Labels are read from at most ``MAX_LABELS`` rows, those with the smallest hash o
 rows. Edge cases: null and empty texts have the statistics of an empty text; null labels aren't learnt from; with fewer
 than ``FOLDED`` labels of a class, too few for folds, both have the pooled covariance, strongly rounded, and the score is
 Bayes' rule; with labels of one class, or none, there is no model: the score is the share of good labels (1 without
-labels), and ``keep_good`` keeps all; repeated documents score alike; other columns pass through ``keep_good`` untouched.
+labels), and ``keep_good`` keeps all; a score equal to the threshold is kept; texts of any length are read whole; labels that
+tie in the order of hashes go by id; repeated documents score alike; other columns pass through ``keep_good`` untouched.
 """
 
 from __future__ import annotations

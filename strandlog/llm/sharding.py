@@ -9,7 +9,7 @@ Law ``rows``: with no slack the capacities sum to the number of rows and differ
 With slack, capacities are (1 + slack) times the mean and fewer rows leave their first shard.
 
 Edge cases: a null text counts as empty (size 1, crc32 of nothing); a null doc_id is a key like any other; equal texts
-under different ids are different keys, so a hot group spreads; repeated rows get places of their own; an empty table
+under different ids are different keys, so a hot group is spread and not kept together; texts are never moved, however long; repeated rows get places of their own; an empty table
 gives an empty result; other columns are not read.
 """
 

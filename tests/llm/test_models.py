@@ -373,3 +373,44 @@ def test_all_are_returned_where_there_are_few(spark):
         rows = [(20 * i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(n)]
         got = nearest(multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), target=0.05))
         assert set(got) == {20 * i for i in range(n)} and all(len(set(v)) == min(20, n - 1) for v in got.values())
+
+
+# --- brute force -----------------------------------------------------------------------------------------------------
+
+
+def test_languages_match_brute_force(spark, sf_dir):
+    """Every n-gram hashed by itself, with the fold of each row from its id."""
+    docs = common.table(spark, sf_dir, "documents").limit(60)
+    model = language_id.train(common.table(spark, sf_dir, "documents"))
+
+    def bucket(gram):
+        h = 2166136261
+        for b in gram:
+            h = (h ^ b) * 16777619 % 2**32
+        return (h ^ h >> 15) * 2654435761 % 2**32 >> 32 - 15
+
+    got = {(r["doc_id"], r["held_out"]): r for r in language_id.predict(docs, model).collect()}
+    for r in docs.collect():
+        row = got[r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        flat = b" " + re.sub(rb" +", b" ", bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in r["text"].lower().encode()))
+        grams = [bucket((flat + b" " * 5)[i : i + n]) for n in (3, 4, 5) for i in range(len(flat))]
+        z = (sum(model.logits[g].astype(float) for g in grams) / len(grams) + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        assert row["lang_pred"] == model.langs[int(z.argmax())] and abs(row["score"] - e.max() / e.sum()) < 1e-4
+
+
+def test_quality_matches_brute_force(spark, sf_dir):
+    """Folds from the ids, and Mahalanobis distances from covariances instead of their factors."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in quality.query(spark, sf_dir).collect()}
+    for r in docs.collect():
+        z = (quality.statistics([(r["text"] or "").encode()])[0] - model.centre) / model.scale
+        logs = [o - 0.5 * float((z - m) @ np.linalg.solve(np.linalg.inv(f) @ np.linalg.inv(f).T, z - m)) for m, f, o in zip(model.means, model.factors, model.offsets, strict=True)]
+        score = 1 / (1 + math.exp(-max(-500, min(500, model.line[0] * (logs[1] - logs[0]) + model.line[1]))))
+        row = got[r["doc_id"]]
+        assert row["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and abs(row["score"] - score) < 1e-6
+        assert row["predicted"] == int(row["score"] >= 0.3)
