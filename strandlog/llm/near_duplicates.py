@@ -1,20 +1,25 @@
 """Similarity join of texts by the Jaccard index of their five-word shingles: a MinHash LSH forest, then exact checks.
 
 Every distinct text has ``TREES`` labels of up to ``LONGEST`` minhashes. A tree of the forest is the sorted trie of the
-texts' labels; texts under one node share a prefix. Matching starts with long prefixes, which find the close copies
-cheaply, and shortens them until a pair at the threshold shares a prefix in some tree with probability ``TARGET``:
-
-* long prefixes: each text is compared with the first one under its node, and those that match form components;
-* the shortest prefixes: under nodes that still hold several components, small nodes give all pairs across components,
-  large ones first stars around two members; what is then left of large nodes is compared block against block.
-
-All matches are verified on the texts themselves. Equal texts are one vertex throughout, found by digest. Components
-come from alternating large and small stars, each step cut in the shared folder. Links are then counted within
-components, where all links lie: small components share a task, large ones are compared in blocks against each other as
-matrix products, so that pairs of a large group are counted but never made rows. A block has about ``BLOCK`` texts or
-``BLOCK_SHINGLES`` shingles, whichever are fewer, so that groups of long texts need no more memory than others. A text
-that is compared with very many others is copied for each ``RAYS`` of them. The tables between the steps are deleted once
-the result is written.
+texts' labels; texts under one node share a prefix. Matching starts with the longest prefixes, which find the close copies
+cheaply, and takes one minhash off them at a time:
+
+* at the longest, each text is first compared with the first one under its node, and those that match form components;
+* at every length, under nodes that still hold several components, small nodes give all pairs across components that were
+  not compared before, large ones stars around two members; matches join components;
+* matching ends at the length at which a pair as little similar as the least similar match so far shares a prefix in some
+  tree with probability ``TARGET``, if no large node is open there (``enough``). Close copies alone need no short
+  prefixes; links near the threshold shorten them to the length that ``TARGET`` asks for at the threshold itself, where
+  what is left of large nodes is compared block against block.
+
+A link less similar than all matches is lost only if every such link was missed: by the longest prefixes with probability
+0.003 each, if it lies at the threshold. All matches are verified on the texts themselves. Equal texts are one vertex
+throughout, found by digest. Components come from alternating large and small stars, each step cut in the shared folder.
+Links are then counted within components, where all links lie: small components share a task, large ones are compared in
+blocks against each other as matrix products, so that pairs of a large group are counted but never made rows. A block has
+about ``BLOCK`` texts or ``BLOCK_SHINGLES`` shingles, whichever are fewer, so that groups of long texts need no more memory
+than others. A text that is compared with very many others is copied for each ``RAYS`` of them. The tables between the steps
+are deleted once the result is written.
 
 Results: one row for each row of the table with the class (its smallest doc_id) and the number of other rows whose text
 is equal or at least ``THRESHOLD`` similar. Edge cases: words are runs of letters, digits and non-ASCII characters, A-Z
@@ -60,6 +65,11 @@ def shortest_prefix(target: float = TARGET) -> int:
     return length
 
 
+def enough(prefix: int, least: float | None, target: float = TARGET) -> bool:
+    """Whether pairs as similar as the least similar match are found at this length; without matches there are none to find."""
+    return least is None or recall(prefix, least) >= target
+
+
 def shingle_sets(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all documents' shingles, sorted and distinct within each, and where each document's begin."""
     words, at = word_hashes(docs)
@@ -145,15 +155,17 @@ def _nodes(vertices: DataFrame, prefix: int) -> DataFrame:
     return tree.select(F.xxhash64("tree", label).alias("node"), "rid")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of two sets of shingles where it reaches the threshold, else 0."""
     if not len(a) or not len(b) or min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)) - 1e-9:
-        return False
+        return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= THRESHOLD * (len(a) + len(b) - both) - 1e-9
+    either = len(a) + len(b) - both
+    return both / either if both >= THRESHOLD * either - 1e-9 else 0.0
 
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose texts are similar. The first of a pair may be in very many, so its text is salted."""
+def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The (a, b) pairs with the similarity of their texts. The first of a pair may be in very many, so its text is salted."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / RAYS).cast("int").alias("salts")).filter("salts > 1")
     some = F.coalesce("salts", F.lit(1))
     dealt = pairs.join(salts, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), some).cast("int")).select("a", "b", "salt")
@@ -168,7 +180,7 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
+            alike = []
             for lo in range(0, len(a), 256):
                 raw: dict[int, bytes] = {}
                 for ids, name in ((a, "ta"), (b, "tb")):
@@ -177,12 +189,12 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 order = {r: k for k, r in enumerate(raw)}
                 sets, at = shingle_sets(list(raw.values()))
                 own = lambda r, o=order, s=sets, p=at: s[p[o[r]] : p[o[r] + 1]]
-                keep += [similar(own(x), own(y)) for x, y in zip(a[lo : lo + 256], b[lo : lo + 256], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
-                pa.array(keep, pa.bool_())
+                alike += [similarity(own(x), own(y)) for x, y in zip(a[lo : lo + 256], b[lo : lo + 256], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(alike, pa.float64())], names=["a", "b", "similarity"]
             )
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame, cut: Cuts) -> DataFrame:
@@ -305,8 +317,35 @@ def _join_blocks(rows: DataFrame, held: DataFrame) -> DataFrame:
     return placed.join(held, "rid").groupBy("node", "i", "j").applyInPandas(edges, "a long, b long").distinct()
 
 
-def _with_components(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    return nodes.join(members, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+def _open_nodes(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of nodes that hold several components, with the node's size, its first and last text and their components."""
+    rows = nodes.select("node", "rid").join(members, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    several = rows.groupBy("node").agg(
+        F.count("*").alias("n"),
+        F.min("comp").alias("c1"),
+        F.max("comp").alias("c2"),
+        F.min("rid").alias("least"),
+        F.min_by("comp", "rid").alias("least_comp"),
+        F.max("rid").alias("most"),
+        F.max_by("comp", "rid").alias("most_comp"),
+    )
+    return rows.join(several.filter("c1 <> c2").drop("c1", "c2"), "node")
+
+
+def _across(met: DataFrame, before: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components under open nodes, without those compared before: all of small nodes, of large
+    ones stars around the first and the last text."""
+    small = met.filter(F.col("n") <= SMALL_NODE)
+    left = small.select("node", F.col("rid").alias("a"), F.col("comp").alias("ca"))
+    right = small.select("node", F.col("rid").alias("b"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "node").filter("a < b and ca <> cb").select("a", "b")
+    large = met.filter(F.col("n") > SMALL_NODE)
+    for centre in ("least", "most"):
+        rays = large.filter(F.col("comp") != F.col(f"{centre}_comp"))
+        pairs = pairs.union(rays.select(F.col(centre).alias("a"), F.col("rid").alias("b")))
+    lower, upper = F.least("a", "b").alias("lower"), F.greatest("a", "b").alias("upper")
+    pairs = pairs.groupBy(lower, upper).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"))
+    return pairs.join(before.select(lower, upper), ["lower", "upper"], "left_anti").select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -343,40 +382,35 @@ def _classes(docs: DataFrame, cut: Cuts) -> DataFrame:
         held = held.groupBy("rid").agg(F.first("text").alias("text"))  # rows repeated under one id
     held = cut(held, "texts")
 
-    # long prefixes: stars around the first text under each node
-    deep = _nodes(wanted, LONGEST)
+    # stars around the first text under each node of the longest prefixes
+    deep = cut(_nodes(wanted, LONGEST), "nodes")
     centres = deep.groupBy("node").agg(F.min("rid").alias("a"), F.count("*").alias("n")).filter("n > 1")
     stars = deep.join(centres, "node").filter("rid <> a").select("a", F.col("rid").alias("b")).distinct()
-    edges = cut(_verified(stars, held), "matches")
-    members = cut(components(edges, cut), "components")
-
-    # the shortest prefixes, where several components meet
-    def open_nodes(members: DataFrame) -> DataFrame:
-        rows = _with_components(nodes, members)
-        several = rows.groupBy("node").agg(
-            F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("rid").alias("least"), F.max("rid").alias("most")
-        )
-        return rows.join(several.filter("c1 <> c2").drop("c1", "c2"), "node")
-
-    met = cut(open_nodes(members), "meetings")
-    small = met.filter(F.col("n") <= SMALL_NODE)
-    left = small.select("node", F.col("rid").alias("a"), F.col("comp").alias("ca"))
-    right = small.select("node", F.col("rid").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "node").filter("a < b and ca <> cb").select("a", "b")
-    large = met.filter(F.col("n") > SMALL_NODE)
-    for centre in ("least", "most"):
-        rays = large.filter(F.col("rid") != F.col(centre)).select(F.col(centre).alias("a"), F.col("rid").alias("b"))
-        pairs = pairs.union(rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    # two texts that are in one component already needn't be compared again
-    pairs = pairs.distinct()
-    known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = cut(edges.union(_verified(pairs.join(known, ["a", "b"], "left_anti"), held)), "matches")
-    members = cut(components(edges, cut), "components")
-    if not large.isEmpty():
-        rest = open_nodes(members).filter(F.col("n") > SMALL_NODE).select("node", "rid", "comp", "n")
-        rest = cut(rest.join(wanted.select("rid", "shingles"), "rid"), "open")
-        edges = cut(edges.union(_join_blocks(rest, held)), "matches")
-        members = cut(components(edges, cut), "components")
+    compared = cut(_compared(stars, held), "compared")
+    members = cut(components(compared.filter("similarity > 0").select("a", "b"), cut), "components")
+
+    def joined(members: DataFrame, edges: DataFrame) -> DataFrame:
+        known = members.select(F.col("rid").alias("a"), F.col("comp").alias("b"))
+        return cut(components(known.union(edges.select("a", "b")), cut), "components")
+
+    for prefix in range(LONGEST, last - 1, -1):
+        level = {LONGEST: deep, last: nodes}.get(prefix)
+        level = _nodes(wanted, prefix) if level is None else level
+        met = cut(_open_nodes(level, members), "meetings")
+        now = cut(_compared(_across(met, compared), held), "compared")
+        compared = compared.union(now)
+        matches = now.filter("similarity > 0")
+        if not matches.isEmpty():
+            members = joined(members, matches)
+        large = met.filter(F.col("n") > SMALL_NODE)
+        if prefix > last:
+            least = compared.filter("similarity > 0").agg(F.min("similarity")).head()[0]
+            if enough(prefix, least) and (large.isEmpty() or _open_nodes(large, members).isEmpty()):
+                break
+        elif not large.isEmpty():
+            rest = _open_nodes(large, members).select("node", "rid", "comp", "n")
+            rest = cut(rest.join(wanted.select("rid", "shingles"), "rid"), "open")
+            members = joined(members, cut(_join_blocks(rest, held), "matches"))
 
     rows = members.join(wanted.select("rid", "copies", "shingles"), "rid")
     grouped = rows.groupBy("comp").agg(F.count("*").alias("size"), F.sum("shingles").alias("weight"))

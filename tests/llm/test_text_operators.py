@@ -232,6 +232,45 @@ def test_one_of_each_class_stays(odd, none):
     assert near_duplicates.keep_first(none).count() == 0
 
 
+def depths(monkeypatch, docs):
+    """Lengths at which matching looked at nodes, and the links found."""
+    seen, nodes = [], near_duplicates._nodes
+
+    def noted(vertices, prefix):
+        seen.append(prefix)
+        return nodes(vertices, prefix)
+
+    monkeypatch.setattr(near_duplicates, "_nodes", noted)
+    found = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates.classes(docs).collect())
+    monkeypatch.setattr(near_duplicates, "_nodes", nodes)
+    return seen, found
+
+
+def test_prefixes_shorten_with_the_links_found(spark, monkeypatch):
+    """Close copies end at the longest prefixes, a link near the threshold takes matching to the shortest."""
+    met = []
+    open_nodes = near_duplicates._open_nodes
+    monkeypatch.setattr(near_duplicates, "_open_nodes", lambda nodes, members: met.append(1) or open_nodes(nodes, members))
+    close = [(k, " ".join(f"w{i}x{j}" for j in range(200))) for k, i in enumerate((1, 1, 2, 3))]
+    close += [(10, close[0][1] + " tail"), (11, close[2][1] + " other")]
+    seen, found = depths(monkeypatch, spark.createDataFrame(close, "doc_id long, text string"))
+    assert found == sorted(brute_links(close))
+    assert len(met) == 1 and near_duplicates.LONGEST - 1 not in seen
+    met.clear()
+    words = [f"v{j}" for j in range(104)]
+    changed = [*words[:50], "x", *words[51:98], "y", *words[99:]]  # ten of 100 shingles differ: 90 of 110 are common
+    near = [*close, (20, " ".join(words)), (21, " ".join(changed))]
+    seen, found = depths(monkeypatch, spark.createDataFrame(near, "doc_id long, text string"))
+    assert found == sorted(brute_links(near)) and (21, 20, 1) in found
+    assert len(met) == 3 and near_duplicates.LONGEST - 1 in seen
+
+
+def test_where_shortening_ends():
+    last = near_duplicates.shortest_prefix()
+    assert near_duplicates.enough(near_duplicates.LONGEST, None) and near_duplicates.enough(near_duplicates.LONGEST, 0.9)
+    assert not near_duplicates.enough(near_duplicates.LONGEST, 0.82) and near_duplicates.enough(last, near_duplicates.THRESHOLD)
+
+
 def test_recall_of_the_forest():
     assert near_duplicates.recall(near_duplicates.shortest_prefix()) >= near_duplicates.TARGET > near_duplicates.recall(near_duplicates.LONGEST)
 
