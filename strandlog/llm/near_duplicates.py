@@ -42,6 +42,7 @@ from strandlog.llm.common import MASK, Cuts, mix, table, texts, word_hashes
 from strandlog.llm.common import cut as write_cut
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: The number of trees is a power of two and at most 32, as a node's last bits are its tree.
 TREES, LONGEST, TARGET = 32, 8, 0.9999
 #: Nodes up to this size give all their pairs.
 SMALL_NODE = 32
@@ -149,10 +150,12 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(vertices: DataFrame, prefix: int) -> DataFrame:
-    """(node, rid): the trie node of this depth in each tree."""
-    tree = vertices.select("rid", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    """(node, rid): the trie node of this depth in each of the text's ``trees``, a mask. A node's last bits are its tree."""
+    tree = vertices.select("rid", "labels", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    tree = tree.filter("(trees & shiftleft(1L, tree)) <> 0")
     label = F.substring("labels", F.col("tree") * (LONGEST * _BYTES) + 1, F.lit(prefix * _BYTES))
-    return tree.select(F.xxhash64("tree", label).alias("node"), "rid")
+    node = F.shiftleft(F.xxhash64("tree", label), TREES.bit_length() - 1).bitwiseOR(F.col("tree").cast("long"))
+    return tree.select(node.alias("node"), "rid")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -364,13 +367,15 @@ def _classes(docs: DataFrame, cut: Cuts) -> DataFrame:
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("shingles").alias("shingles")
     )
     vertices = cut(vertices.withColumn("rid", F.monotonically_increasing_id()), "vertices")
-    worded = vertices.filter("labels is not null")
+    worded = vertices.filter("labels is not null").withColumn("trees", F.lit((1 << TREES) - 1).cast("long"))
     last = shortest_prefix()
     nodes = _nodes(worded, last)
     shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     nodes = cut(nodes.join(shared, "node"), "nodes")  # texts that share no node at the shortest prefix have no match
-    alike = nodes.select("rid").distinct()
-    wanted = worded.join(alike, "rid").select("rid", F.col("rep").alias("doc_id"), F.col("key").alias("own"), "labels", "copies", "shingles")
+    # nor do they share one at a longer prefix in a tree where they share none at the shortest
+    trees = F.expr(f"bit_or(shiftleft(1L, CAST(node & {TREES - 1} AS INT)))").alias("trees")
+    wanted = worded.drop("trees").join(nodes.groupBy("rid").agg(trees), "rid")
+    wanted = wanted.select("rid", F.col("rep").alias("doc_id"), F.col("key").alias("own"), "labels", "trees", "copies", "shingles")
     wanted = cut(wanted, "wanted")
     full = _keyed(docs).filter("key is not null")
     held = (
