@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions.generators import ask_stream
-from strandlog.model import LOG_SQL, event_log, work_folder
+from strandlog.model import LOG_SQL, cut, event_log, work_folder
 from strandlog.operators import logs
 from strandlog.sources import codec, frames
 from strandlog.sources.store import LogStore
@@ -76,12 +76,14 @@ def ref_frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LOG_SQL} SELECT actor, CAST(sum(amount) AS BIGINT) AS balance, count(*) AS applied, max(seq) AS last_seq FROM log GROUP BY actor""")
 def ref_log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Told messages are appended to a durable store in two batches by the actors' owners, with a snapshot between them;
-    what the store recovers is the state after all of them."""
+    what the store recovers is the state after all of them. Each actor's batches part in the middle of its seqs, so the
+    second has later ones alone, however seqs are spread."""
     store = LogStore(spark, work_folder(spark, "store"))
     log = event_log(spark, sf_dir)
-    tokens = store.acquire(log.select("actor"))
-    rows = log.join(tokens, "actor").select("actor", "seq", "token", F.lit("event").alias("record"), "amount", F.col("seq").alias("pos"))
-    half = F.col("seq") % 1_000_000 < 2_000
+    middle = log.groupBy("actor").agg(F.expr("min(seq) + (max(seq) - min(seq)) div 2").alias("middle"))
+    tokens = cut(store.acquire(log.select("actor")).join(middle, "actor"), "owners")
+    rows = log.join(tokens, "actor").select("actor", "seq", "token", F.lit("event").alias("record"), "amount", F.col("seq").alias("pos"), "middle")
+    half = F.col("seq") <= F.col("middle")
     store.append(rows.filter(half))
     taken = logs.replay(store.events(), ["actor"]).join(tokens, "actor")
     store.save_snapshots(taken.select("actor", F.lit(0).cast("long").alias("at"), "token", F.col("last_seq").alias("through_seq"), "balance", "applied"))

@@ -25,6 +25,16 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_store_takes_seqs_beyond_a_million(spark, sf_dir, tmp_path):
+    """Actors whose seqs go on past a million append in order, in two batches."""
+    from strandlog.model import read
+
+    twice = read(spark, sf_dir, "events").crossJoin(spark.range(2).withColumnRenamed("id", "k"))
+    twice.withColumn("event_id", twice["event_id"] + twice["k"] * 999_500).drop("k").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["ref_log_store"](spark, str(tmp_path)).toPandas()
+    assert canonical(got) == canonical(tables(tmp_path).sql(ORACLES["ref_log_store"]).df())
+
+
 def test_table_function_gives_the_same_stream(spark):
     """The reply stream from Python and the one from an expression."""
     requests = spark.range(8).selectExpr("id * 10 AS first", "id AS n")
