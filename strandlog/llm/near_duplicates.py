@@ -14,7 +14,8 @@ cheaply, and takes one minhash off them at a time:
 
 A link less similar than all matches is lost only if every such link was missed: by the longest prefixes with probability
 0.003 each, if it lies at the threshold. All matches are verified on the texts themselves. Equal texts are one vertex
-throughout, found by digest. Components come from alternating large and small stars, each step cut in the shared folder.
+throughout, found by digest. Components of at most ``EDGES`` edges are found on the driver, others come from alternating large
+and small stars, each step cut in the shared folder.
 Links are then counted within components, where all links lie: small components share a task, large ones are compared in
 blocks against each other as matrix products, so that pairs of a large group are counted but never made rows. A block has
 about ``BLOCK`` texts or ``BLOCK_SHINGLES`` shingles, whichever are fewer, so that groups of long texts need no more memory
@@ -49,6 +50,8 @@ SMALL_NODE = 32
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Comparisons with one text that one task makes, about.
 RAYS = 4096
+#: Edges that the driver joins to components by itself, 16 bytes each.
+EDGES = 1_000_000
 #: Bytes of text whose shingles are held at once.
 PIECE = 2 << 20
 _BYTES = 2
@@ -200,8 +203,29 @@ def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All vertices of the edges between a and b, sorted, and the least vertex of each one's component."""
+    vertices, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    least = np.arange(len(vertices))
+    while True:
+        x, y = least[u], least[v]
+        apart = x != y
+        if not apart.any():
+            return vertices, vertices[least]
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(least, further := least[least]):
+            least = further
+
+
 def components(edges: DataFrame, cut: Cuts) -> DataFrame:
     """(rid, comp) of all vertices with an edge; comp is the component's least vertex."""
+    if edges.count() <= EDGES:
+        few = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").toArrow()
+        vertices, least = least_reached(few["a"].to_numpy(), few["b"].to_numpy())
+        found = pd.DataFrame({"rid": vertices.astype(np.int64), "comp": least.astype(np.int64)})
+        return edges.sparkSession.createDataFrame(pa.Table.from_pandas(found, preserve_index=False))
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:

@@ -265,6 +265,30 @@ def test_prefixes_shorten_with_the_links_found(spark, monkeypatch):
     assert len(met) == 3 and near_duplicates.LONGEST - 1 in seen
 
 
+def test_few_edges_become_components_without_tables_between(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    chain = [(k + 1 if k % 2 else k, k if k % 2 else k + 1) for k in range(1000, 1040)]
+    edges = [*chain, *map(tuple, rng.integers(0, 300, (200, 2)).tolist()), (7, 7), (900, 900), (1 << 40, 2000), (1 << 40, 2000)]
+    least = {v: v for e in edges if e[0] != e[1] for v in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    made = []
+
+    def cut(df, what):
+        made.append(what)
+        return df.localCheckpoint()
+
+    frame = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    found = near_duplicates.components(frame, cut).collect()
+    assert not made and sorted((r["rid"], r["comp"]) for r in found) == sorted(least.items())
+    assert near_duplicates.components(frame.filter("a < 0"), cut).count() == 0
+    monkeypatch.setattr(near_duplicates, "EDGES", 10)  # stars
+    found = near_duplicates.components(frame, cut).collect()
+    assert made and sorted((r["rid"], r["comp"]) for r in found) == sorted(least.items())
+
+
 def test_where_shortening_ends():
     last = near_duplicates.shortest_prefix()
     assert near_duplicates.enough(near_duplicates.LONGEST, None) and near_duplicates.enough(near_duplicates.LONGEST, 0.9)
