@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,10 @@ FEATURES = 512
 #: Tokens in one range of the curve, at most about so many.
 RANGE_TOKENS, MAX_RANGES = 4_000_000, 10_000
 MAX_CACHED = 300_000
+#: Of the table of short chunks; the last bounds the text that is looked up at once.
+SLOT_BITS, PROBES, MAX_TABLE, AT_ONCE = 21, 4, 1_000_000, 1 << 20
+SLOTS = 1 << SLOT_BITS
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
 _PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -57,7 +62,7 @@ class _Kept(dict):
         super().__init__()
         self.make, self.old = make, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str | bytes) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -68,12 +73,21 @@ class _Kept(dict):
         return value
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class Encoder:
     """Ids of whole texts as little-endian 16-bit numbers.
 
     The tokenizer never joins what white space parts, so each chunk between spaces and line feeds is encoded once and
     its ids are kept. A chunk of plain letters with punctuation after them goes to the tokenizer's model as the two
-    words that it is; any other chunk goes through all of the tokenizer."""
+    words that it is; any other chunk goes through all of the tokenizer.
+
+    Chunks of up to 16 bytes are looked up all at once: two numbers hold their bytes, so that with the length they are
+    compared as a whole. They lie in a hash table, where a chunk that finds ``PROBES`` slots taken replaces another and
+    which is emptied before it has more than ``MAX_TABLE`` chunks. What it doesn't have, and longer chunks, are looked up one
+    by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,20 +97,96 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words = _Kept(self._word)
         self.chunks = _Kept(self._chunk)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slots = np.zeros(SLOTS, np.int32)  # each slot's entry; entry 0 is none, as no chunk is empty
+        self.low, self.high = np.zeros(MAX_TABLE, "<u8"), np.zeros(MAX_TABLE, "<u8")
+        self.length, self.first, self.n = (np.zeros(MAX_TABLE, np.int64) for _ in range(3))
+        self.used, self.pool, self.pooled = 1, np.empty(4 * MAX_TABLE, "<u2"), 0
 
     def _word(self, word: str) -> bytes:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+        return _packed([t.id for t in self.model.tokenize(letters)])
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, raw: bytes) -> bytes:
+        chunk = raw.decode()
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+            return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         letters, marks = plain.groups()
         return (self.words[letters.lower()] if letters else b"") + (self.words[marks] if marks else b"")
 
+    def _found(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Each chunk's entry, 0 where the table doesn't have it."""
+        entry = self.slots[slot]
+        entry[(self.low[entry] != low) | (self.high[entry] != high) | (self.length[entry] != length)] = 0
+        rest = np.flatnonzero(entry == 0)
+        for k in range(1, PROBES):
+            if not len(rest):
+                break
+            own = self.slots[slot[rest] + k]
+            same = (self.low[own] == low[rest]) & (self.high[own] == high[rest]) & (self.length[own] == length[rest])
+            entry[rest[same]] = own[same]
+            rest = rest[~same]
+        return entry
+
+    def _add(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, slot: np.ndarray, ids: list[bytes]) -> None:
+        """Add distinct chunks that the table doesn't have."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        if self.used + len(n) > MAX_TABLE or self.pooled + n.sum() > len(self.pool):
+            self._empty()
+        m = min(len(n), MAX_TABLE - 1, int(np.searchsorted(np.cumsum(n), len(self.pool), side="right")))
+        ends, own = self.pooled + np.cumsum(n[:m]), slice(self.used, self.used + m)
+        self.low[own], self.high[own], self.length[own], self.first[own], self.n[own] = low[:m], high[:m], length[:m], ends - n[:m], n[:m]
+        new = b"".join(ids[:m])
+        self.pool[self.pooled : self.pooled + len(new) // 2] = np.frombuffer(new, "<u2")
+        entry, slot = np.arange(self.used, self.used + m, dtype=np.int32), slot[:m]
+        for _ in range(PROBES):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = entry[free]
+            left = self.slots[slot] != entry
+            entry, slot = entry[left], slot[left] + 1
+        self.slots[slot - PROBES] = entry  # instead of others
+        self.used, self.pooled = self.used + m, self.pooled + len(new) // 2
+
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.many([text.encode()])[0].tobytes()
+
+    def many(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, given in UTF-8."""
+        if not raw:
+            return []
+        flat = b"\n".join(raw).replace(b"\n", b" ")
+        data = np.frombuffer(flat + bytes(24), np.uint8)
+        inside = np.zeros(len(flat) + 2, dtype=bool)
+        np.not_equal(data[: len(flat)], 0x20, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        length = end - start
+        eights = np.ndarray((len(flat) + 16,), "<u8", data, 0, (1,))  # the eight bytes from each byte on
+        low, high = eights[start] & _MASKS[np.minimum(length, 8)], eights[start + 8] & _MASKS[np.clip(length - 8, 0, 8)]
+        slot = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + length.astype("<u8")) * np.uint64(0xC2B2AE3D27D4EB4F)
+        slot = ((slot ^ slot >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = np.minimum(slot, SLOTS - PROBES)
+        entry = self._found(low, high, length, slot)
+        entry[length > 16] = 0
+        first, n = self.first[entry], self.n[entry]
+        rest = np.flatnonzero(entry == 0)
+        raws = [flat[x:y] for x, y in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+        place = {chunk: k for k, chunk in enumerate(dict.fromkeys(raws))}
+        found = list(map(self.chunks.__getitem__, place))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        which = np.fromiter(map(place.__getitem__, raws), np.int64, len(raws))
+        first[rest], n[rest] = (self.pooled + np.cumsum(sizes) - sizes)[which], sizes[which]
+        pool = np.concatenate((self.pool[: self.pooled], np.frombuffer(b"".join(found), "<u2")))
+        lone = rest[np.unique(which, return_index=True)[1]]  # the first place of each of those chunks
+        short = length[lone] <= 16
+        self._add(low[lone[short]], high[lone[short]], length[lone[short]], slot[lone[short]], [found[k] for k in np.flatnonzero(short)])
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        begins = np.cumsum([len(r) + 1 for r in raw[:-1]])
+        return np.split(ids, np.concatenate(([0], ends))[np.searchsorted(start, begins)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -161,6 +251,17 @@ def _occurrence(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _at_once(raw: list[bytes], most: int = AT_ONCE) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of at most so many bytes or one text."""
+    lo = 0
+    while lo < len(raw):
+        size, hi = 0, lo
+        while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= most):
+            size, hi = size + len(raw[hi]), hi + 1
+        yield raw[lo:hi]
+        lo = hi
+
+
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, curve, n, ids) of every row, from a table in the shared folder."""
 
@@ -168,7 +269,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         encode, closing = encoder(path), np.array([CLOSING], "<u2").tobytes()
         for batch in pieces(batches):
             raw = texts(pa.chunked_array([batch.column("text")]))
-            ids = [encode(r.decode()) + closing for r in raw]
+            ids = [i.tobytes() + closing for own in _at_once(raw) for i in encode.many(own)]
             number = np.array([x or 0 for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
             spread = mix(number.view(np.uint64) + _occurrence(number) * np.uint64(MASK // 3)) >> np.uint64(40)
             curve = (curve_keys(raw) << np.uint64(24) | spread).astype(np.int64)

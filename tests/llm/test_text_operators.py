@@ -116,6 +116,36 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(own(t), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_short_chunks_are_looked_up_at_once():
+    class Noted(dict):
+        def __missing__(self, chunk):
+            asked.append(chunk)
+            return own._chunk(chunk)
+
+    asked, own = [], packing.Encoder(packing.default_tokenizer())
+    own.chunks = Noted()
+    text = "The quick brown fox, it jumps\nover 3.14 dogs!  Über\ta "
+    first, before = own(text), len(asked)
+    assert before and own(text) == first and len(asked) == before
+
+
+@pytest.mark.parametrize("bits, most", [(3, 12), (3, 4000), (12, 30), (21, 1_000_000)])
+def test_chunks_that_differ_in_any_byte_or_length_are_kept_apart(monkeypatch, bits, most):
+    from tokenizers import Tokenizer
+
+    for name, value in (("SLOT_BITS", bits), ("SLOTS", 1 << bits), ("MAX_TABLE", most)):
+        monkeypatch.setattr(packing, name, value)
+    tokenizer, own = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    rng = np.random.default_rng(1)
+    texts = ["a\0 a a\0\0 \0 \0\0", "abcdefgh abcdefgh\0 abcdefghi abcdefghabcdefgh abcdefghabcdefghi abcdefghabcdefghj " + "x" * 99, "", "\n", " "]
+    texts += ["".join(rng.choice(list("  \n\t\0aAbé日1.,"), rng.integers(0, 80))) for _ in range(200)]
+    for _ in range(2):
+        for lo in range(0, len(texts), 41):
+            some = texts[lo : lo + 41]
+            expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+            assert [i.tolist() for i in own.many([t.encode() for t in some])] == expected
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4])
 def test_hilbert_visits_neighbours(bits):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * 3, indexing="ij"), -1).reshape(-1, 3)
