@@ -54,9 +54,31 @@ DEALT, BLOCK = 1 << 20, 4096
 #: Numbers that a step of the descent changes at once; scores below SAFE need no care before the exponential.
 STEP, SAFE = 1 << 13, 40
 LOCKSTEP, WINDOW = 1024, 32
+#: Cases whose classes are computed at once, so that their scores stay near the processor.
+CASES = 2048
 _LN10 = np.log(10)
 
 
+class _Index:
+    """Finds numbers that are spread over all 64 bits, as hashes are, in a sorted array of them: from where the numbers with
+    the same first bits begin, it goes on step by step."""
+
+    def __init__(self, numbers: np.ndarray):
+        bits = max(4, len(numbers).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(numbers, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.numbers = np.append(numbers, np.uint64((1 << 64) - 1))
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """For each wanted number, the place of the first that isn't smaller."""
+        at = self.starts[(wanted >> self.shift).astype(np.int32)]
+        rest = np.flatnonzero(self.numbers[at] < wanted)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[self.numbers[at[rest]] < wanted[rest]]
+        return at
+
+
 @dataclass
 class Vocabulary:
     """Counts of the head, sorted by hash, and the classes of its most frequent tokens."""
@@ -74,6 +96,7 @@ class Vocabulary:
     classes: int = field(init=False)
     members: list[int] = field(init=False)
     rare_total: int = field(init=False)
+    indices: dict[str, _Index] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         most = max(CLASSES * PER_CLASS, int(self.total**GROWTH))
@@ -87,18 +110,26 @@ class Vocabulary:
         words = int(self.counts[order].sum())
         rare_tokens, rare_kinds = self.total - self.ends - words, self.distinct - (self.ends > 0) - self.size
         self.rare_total = rare_tokens + rare_kinds + 1
+        self.indices = {}
         self.frequencies = np.concatenate((self.counts[order], [self.ends, rare_tokens])).astype(float)
 
     @property
     def end(self) -> int:
         return self.size
 
+    def _places(self, numbers: str, wanted: np.ndarray) -> np.ndarray:
+        """Where each hash is in ``known`` or ``hashes`` if it is there, else some other place; the index is made when needed."""
+        held = getattr(self, numbers)
+        if numbers not in self.indices:
+            self.indices[numbers] = _Index(held)
+        return np.minimum(self.indices[numbers].places(wanted), len(held) - 1)
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Each token's symbol: a word, or beyond the end for rare ones."""
         rare = self.size + 1 + (hashes % np.uint64(RARE_INPUTS)).astype(np.int64)
         if not self.size:
             return rare
-        at = np.minimum(np.searchsorted(self.known, hashes), self.size - 1)
+        at = self._places("known", hashes)
         return np.where(self.known[at] == hashes, self.known_word[at], rare)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,28 +140,38 @@ class Vocabulary:
         rest = np.flatnonzero(~word)
         if len(self.hashes) and len(rest):  # most tokens are words, so few are looked for in all of the head
             wanted = hashes[rest]
-            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            at = self._places("hashes", wanted)
             counts[rest] = np.where(self.hashes[at] == wanted, self.counts[at], -1)
         return symbols, counts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Takes the place of x."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """The numbers of the two gates and the candidate, which lie side by side in each row, as three arrays."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
 
 
 def _pick(x: np.ndarray, at: np.ndarray, derive: bool, safe: bool) -> tuple[np.ndarray, np.ndarray]:
     """For scores with a column for each case: the log-probability of each case's row ``at``, and, to ``derive``, the
     derivatives of minus their sum by the scores. ``safe`` scores are small enough for the exponential as they are. ``x`` is
     used up."""
-    cases = np.arange(x.shape[1])
+    flat, place = x.reshape(-1), at * x.shape[1] + np.arange(x.shape[1])
     if not safe:
         x -= x.max(axis=0)
-    own = x[at, cases]
+    own = flat[place]
     np.exp(x, out=x)
     total = x.sum(axis=0)
     if derive:
         x /= total
-        x[at, cases] -= 1
+        flat[place] -= 1
     return own - np.log(total), x
 
 
@@ -181,39 +222,53 @@ class Network:
         )
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        u = h @ self.p["state"]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
+        return self._step(_by_gate(x), h, _by_gate(self.p["state"]))
+
+    def _step(self, x: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As ``step``, of inputs and weights by gate: each operation then runs over memory without gaps."""
+        u = np.matmul(h, state)
+        z, r = _sigmoid(x[:2] + u[:2])
+        n = r * u[2]
+        n += x[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, u[2]
 
     def log_outputs(self, hs: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural-log probabilities of the targets' classes and words; with ``grad``, also d(-sum)/d(states)."""
         p, c, derive = self.p, self.class_of(targets), grad is not None
         # states lie between -1 and 1, so this bounds all scores
         safe = all(np.abs(p[k]).sum(axis=0).max(initial=0) + np.abs(p[f"{k}_bias"]).max(initial=0) < SAFE for k in ("class", "word"))
-        logs, d = _pick(p["class"].T @ hs.T + p["class_bias"][:, None], c, derive, safe)
-        out = logs.astype(np.float64)
-        back = np.zeros_like(hs)
-        if derive:
-            grad["class"], grad["class_bias"] = (d @ hs).T, d.sum(axis=1)
-            grad["word"], grad["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-            back += d.T @ p["class"].T
+        # biases are weights of a state that is always 1
+        hs = np.concatenate((hs, np.ones((len(hs), 1), hs.dtype)), axis=1)
+        weights, words = (np.ascontiguousarray(np.vstack((p[k], p[f"{k}_bias"])).T) for k in ("class", "word"))
+        out, back = np.empty(len(hs)), np.empty((len(hs), HIDDEN), hs.dtype) if derive else None
+        by_class, by_word = (np.zeros_like(x) for x in (weights, words)) if derive else (None, None)
+        for lo in range(0, len(hs), CASES):
+            own = hs[lo : lo + CASES]
+            out[lo : lo + CASES], d = _pick(weights @ own.T, c[lo : lo + CASES], derive, safe)
+            if derive:
+                by_class += d @ own
+                np.matmul(d.T, weights[:, :-1], out=back[lo : lo + CASES])
         order = np.argsort(c.astype(np.int16), kind="stable")  # cases of one class lie together from here on
         edges = np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
         order = order[: edges[-1]]
-        own_states, own_targets = hs[order], targets[order]
-        own_out, own_back = np.empty(len(order)), np.empty_like(own_states) if derive else None
+        own_states, own_targets = np.take(hs, order, axis=0), (targets - c * self.per_class)[order]
+        own_out, own_back = np.empty(len(order)), np.empty((len(order), HIDDEN), hs.dtype) if derive else None
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if a == b:
                 continue
             lo, hi = k * self.per_class, k * self.per_class + self.members[k]
-            own, words = own_states[a:b], np.ascontiguousarray(p["word"][:, lo:hi].T)
-            logs, d = _pick(words @ own.T + p["word_bias"][lo:hi, None], own_targets[a:b] - lo, derive, safe)
-            own_out[a:b] = logs
+            own = own_states[a:b]
+            own_out[a:b], d = _pick(words[lo:hi] @ own.T, own_targets[a:b], derive, safe)
             if derive:
-                grad["word"][:, lo:hi], grad["word_bias"][lo:hi] = (d @ own).T, d.sum(axis=1)
-                np.matmul(d.T, words, out=own_back[a:b])
+                np.matmul(d, own, out=by_word[lo:hi])
+                np.matmul(d.T, words[lo:hi, :-1], out=own_back[a:b])
+        if derive:
+            for k, g in (("class", by_class), ("word", by_word)):
+                grad[k], grad[f"{k}_bias"] = np.ascontiguousarray(g[:, :-1].T), g[:, -1].copy()
         out[order] += own_out
         if derive:
             back[order] += own_back
@@ -273,11 +328,11 @@ class Network:
         p, (wide, steps) = self.p, before.shape
         symbols = before.T
         keep = (symbols != self.size)[:, :, None].astype(h.dtype)
-        inputs = (p["in"] + p["bias"])[symbols]
+        inputs, state = _by_gate(p["in"] + p["bias"]), _by_gate(p["state"])
         prev, z, r, n, u, hs = (np.empty((steps, wide, HIDDEN), h.dtype) for _ in range(6))
         for t in range(steps):
             prev[t] = h * keep[t]
-            h, z[t], r[t], n[t], u[t] = self.step(inputs[t], prev[t])
+            h, z[t], r[t], n[t], u[t] = self._step(np.take(inputs, symbols[t], axis=1), prev[t], state)
             hs[t] = h
         grad: dict[str, np.ndarray] = {}
         rows = slice(None) if real is None else real.T.reshape(-1)
@@ -286,21 +341,23 @@ class Network:
         _, back[rows] = self.log_outputs(flat[rows], targets.T.reshape(-1)[rows], grad)
         back = back.reshape(hs.shape)
         by_n = (1 - z) * (1 - n * n)  # what a state's derivative is multiplied by for its candidate, gates and inputs
-        by_u = np.stack(((prev - n) * z * (1 - z), by_n * u * r * (1 - r), by_n * r), axis=2)
-        gus, state = np.empty((steps, wide, 3 * HIDDEN), h.dtype), np.ascontiguousarray(p["state"].T)
+        by_u = np.stack(((prev - n) * z * (1 - z), by_n * u * r * (1 - r), by_n * r), axis=1)
+        gus, state = np.empty((steps, 3, wide, HIDDEN), h.dtype), np.ascontiguousarray(state.transpose(0, 2, 1))
         carry = np.zeros((wide, HIDDEN), h.dtype)
         for t in reversed(range(steps)):
             carry += back[t]
-            np.multiply(carry[:, None], by_u[t], out=gus[t].reshape(wide, 3, HIDDEN))
+            np.multiply(carry, by_u[t], out=gus[t])
             by_n[t] *= carry
-            carry = (carry * z[t] + gus[t] @ state) * keep[t]
+            carry = (carry * z[t] + np.matmul(gus[t], state).sum(axis=0)) * keep[t]
+        gus = gus.transpose(0, 2, 1, 3).reshape(steps, wide, 3 * HIDDEN)
         grad["state"] = prev.reshape(-1, HIDDEN).T @ gus.reshape(-1, 3 * HIDDEN)
         gus[:, :, 2 * HIDDEN :] = by_n
         gus, symbols = gus.reshape(-1, 3 * HIDDEN), symbols.reshape(-1)
-        order = np.argsort(symbols, kind="stable")
-        kinds, first = np.unique(symbols[order], return_index=True)
+        order = np.argsort(symbols.astype(np.uint16 if len(p["in"]) <= 1 << 16 else np.int32), kind="stable")
+        kinds = symbols[order]
+        first = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
         grad["in"] = np.zeros_like(p["in"])
-        grad["in"][kinds] = np.add.reduceat(gus[order], first, axis=0)
+        grad["in"][kinds[first]] = np.add.reduceat(np.take(gus, order, axis=0), first, axis=0)
         grad["bias"] = gus.sum(axis=0)
         scale = np.float32(1 / (wide * steps if real is None else real.sum()))
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) * scale
@@ -315,30 +372,31 @@ class Network:
         out = np.zeros(len(docs))
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
-        inputs = self.p["in"] + self.p["bias"]
+        inputs, weights = _by_gate(self.p["in"] + self.p["bias"]), _by_gate(self.p["state"])
         for g in range(0, len(order), LOCKSTEP):
             own = order[g : g + LOCKSTEP]
             n = sizes[own]
             flat = np.concatenate([docs[i] for i in own])
             first = np.concatenate(([0], np.cumsum(n)[:-1]))
             h = np.zeros((len(own), HIDDEN), np.float32)
+            last = np.full(len(own), self.size)
             for lo in range(0, int(n[0]), WINDOW):
                 live = int((n > lo).sum())
-                width = min(WINDOW, int(n[0]) - lo)
-                at = first[:live, None] + np.minimum(lo + np.arange(width), n[:live, None] - 1)
-                symbols = flat[at]
-                before = np.empty_like(symbols)
-                before[:, 1:] = symbols[:, :-1]
-                before[:, 0] = flat[first[:live] + lo - 1] if lo else self.size
-                hs = np.empty((live, width, HIDDEN), np.float32)
-                state = h[:live]
-                for t in range(width):
-                    state = self.step(inputs[before[:, t]], state)[0]
-                    hs[:, t] = state
-                h[:live] = state
-                real = lo + np.arange(width) < n[:live, None]
-                logs, _ = self.log_outputs(hs[real], symbols[real])
-                out[own[:live]] += np.bincount(np.nonzero(real)[0], weights=logs, minlength=live)
+                steps = lo + np.arange(min(WINDOW, int(n[0]) - lo))[:, None]
+                symbols = np.take(flat, first[:live] + np.minimum(steps, n[:live] - 1))
+                hs = np.empty((*symbols.shape, HIDDEN), np.float32)
+                state, before = h[:live], last[:live]
+                for t in range(len(steps)):
+                    hs[t] = state = self._step(np.take(inputs, before, axis=1), state, weights)[0]
+                    before = symbols[t]
+                h[:live], last[:live] = state, before
+                real = steps < n[:live]
+                whole = real.all()
+                logs, _ = self.log_outputs(hs.reshape(-1, HIDDEN) if whole else hs[real], symbols.reshape(-1) if whole else symbols[real])
+                if whole:
+                    out[own[:live]] += logs.reshape(-1, live).sum(axis=0)
+                else:
+                    out[own[:live]] += np.bincount(np.nonzero(real)[1], weights=logs, minlength=live)
         return out / _LN10
 
 

@@ -193,6 +193,37 @@ def test_lockstep_is_step_by_step(monkeypatch):
     assert np.allclose(net.score(docs), got, rtol=1e-4)
 
 
+def test_hashes_are_found_where_a_search_finds_them():
+    rng = np.random.default_rng(8)
+    top = (1 << 64) - 1
+    for n in (1, 2, 3, 1000):
+        spread = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        for held in (spread, spread >> np.uint64(40), np.unique(np.append(spread, np.array([0, top], np.uint64)))):
+            held = np.unique(held)
+            wanted = np.concatenate((held, held + np.uint64(1), held - np.uint64(1), rng.integers(0, top, 500, dtype=np.uint64, endpoint=True)))
+            assert (language_model._Index(held).places(wanted) == np.searchsorted(held, wanted)).all()
+    hashes = np.unique(rng.integers(0, top, 5000, dtype=np.uint64))
+    words = language_model.Vocabulary(hashes, rng.integers(1, 99, len(hashes)), 250_000, 9000, 50)
+    symbols, counts = words.look_up(np.append(hashes, hashes[:99] + np.uint64(1)))
+    assert (counts[:-99] == words.counts).all() and (counts[-99:] == -1).all()
+    assert (np.sort(symbols[symbols < words.size]) == np.arange(words.size)).all()
+
+
+@pytest.mark.parametrize("safe", [40, 0])
+def test_outputs_of_some_cases_at_once_are_those_of_all(monkeypatch, safe):
+    words, net = _network()
+    rng = np.random.default_rng(9)
+    hs, targets = np.tanh(rng.normal(size=(500, language_model.HIDDEN))).astype(np.float32), rng.integers(0, words.size + 5, 500)
+    monkeypatch.setattr(language_model, "SAFE", safe)
+    results = []
+    for cases in (1000, 7):
+        monkeypatch.setattr(language_model, "CASES", cases)
+        grad = {}
+        results.append((*net.log_outputs(hs, targets, grad), *(grad[k] for k in ("class", "class_bias", "word", "word_bias"))))
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-4) for x, y in zip(*results, strict=True))
+    assert all(grad[k].shape == net.p[k].shape for k in grad)
+
+
 def test_all_training_rows_train_the_network(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").repartition(3)
     ends = sum(crc(r["doc_id"], 7) != 2 for r in docs.select("doc_id").collect())
