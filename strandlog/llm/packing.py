@@ -37,7 +37,8 @@ DIMS, BITS = 3, 13
 FEATURES = 512
 #: Tokens in one range of the curve, at most about so many.
 RANGE_TOKENS, MAX_RANGES = 4_000_000, 10_000
-MAX_CACHED = 300_000
+#: Words and chunks that are kept one by one, in each of two generations.
+MAX_WORDS, MAX_CHUNKS = 150_000, 10_000
 #: Of the table of short chunks; the last bounds the text that is looked up at once.
 SLOT_BITS, PROBES, MAX_TABLE, AT_ONCE = 21, 4, 1_000_000, 1 << 20
 SLOTS = 1 << SLOT_BITS
@@ -58,15 +59,15 @@ _LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumer
 class _Kept(dict):
     """A cache of two generations: when the young one is full it becomes the old one, so what is in use stays."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str | bytes) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MAX_CACHED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -95,15 +96,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words = _Kept(self._word)
-        self.chunks = _Kept(self._chunk)
-        self._empty()
+        self.words = _Kept(self._word, MAX_WORDS)
+        self.chunks = _Kept(self._chunk, MAX_CHUNKS)
+        self.slots = np.zeros(SLOTS, np.int32)  # each slot's entry; entry 0 is none, as no chunk is empty
+        self.low, self.high, self.length, self.first, self.n = (np.zeros(MAX_TABLE, t) for t in ("<u8", "<u8", np.uint8, np.int32, np.uint16))
+        self.pool = np.empty(4 * MAX_TABLE, "<u2")
+        self.used, self.pooled = 1, 0
 
     def _empty(self) -> None:
-        self.slots = np.zeros(SLOTS, np.int32)  # each slot's entry; entry 0 is none, as no chunk is empty
-        self.low, self.high = np.zeros(MAX_TABLE, "<u8"), np.zeros(MAX_TABLE, "<u8")
-        self.length, self.first, self.n = (np.zeros(MAX_TABLE, np.int64) for _ in range(3))
-        self.used, self.pool, self.pooled = 1, np.empty(4 * MAX_TABLE, "<u2"), 0
+        self.slots[:] = 0
+        self.used, self.pooled = 1, 0
 
     def _word(self, word: str) -> bytes:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
@@ -171,7 +173,7 @@ class Encoder:
         slot = np.minimum(slot, SLOTS - PROBES)
         entry = self._found(low, high, length, slot)
         entry[length > 16] = 0
-        first, n = self.first[entry], self.n[entry]
+        first, n = self.first[entry].astype(np.int64), self.n[entry].astype(np.int64)
         rest = np.flatnonzero(entry == 0)
         raws = [flat[x:y] for x, y in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
         place = {chunk: k for k, chunk in enumerate(dict.fromkeys(raws))}
